@@ -5,18 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mix
+from . import bpe, mix, tokenbin
 from ._common import table
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), word_bpe()), word_bpe())
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.curriculum_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op8_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenbin.write(table(spark, sf_dir, "documents"), word_bpe(), tokenbin.shared_path(spark, "tokens"))
+    return tokenbin.digest(tokenbin.read(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_curriculum_mix": op6_curriculum_mix}
+    return {"op4_chunked_bpe": op4_chunked_bpe, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet}
 
 
 def oracle_sql() -> dict[str, str]:
