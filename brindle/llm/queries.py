@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mix, tokenbin
+from . import bpe, mix, pii, tokenbin
 from ._common import table
 
 
@@ -32,8 +32,12 @@ def op8_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digest(tokenbin.read(spark, path))
 
 
+def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summarise(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_chunked_bpe": op4_chunked_bpe, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet}
+    return {"op4_chunked_bpe": op4_chunked_bpe, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet, "op9_weak_pii": op9_weak_pii}
 
 
 def oracle_sql() -> dict[str, str]:
