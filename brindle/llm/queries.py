@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mix, pii, tokenbin
+from . import bpe, mix, nra, pii, tokenbin
 from ._common import table
 
 
@@ -22,6 +22,24 @@ def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.curriculum_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -37,8 +55,8 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_chunked_bpe": op4_chunked_bpe, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet, "op9_weak_pii": op9_weak_pii}
+    return {"op4_chunked_bpe": op4_chunked_bpe, "op5_nra_topk": op5_nra_topk, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet, "op9_weak_pii": op9_weak_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_nra_topk": OP5}
