@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mix, nra, pii, tokenbin
+from . import bpe, mix, nra, pii, simhash, tokenbin
 from ._common import table
 
 
@@ -17,6 +17,11 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), word_bpe()), word_bpe())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -55,7 +60,7 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_chunked_bpe": op4_chunked_bpe, "op5_nra_topk": op5_nra_topk, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet, "op9_weak_pii": op9_weak_pii}
+    return {"op3_simhash_bktree": op3_simhash_bktree, "op4_chunked_bpe": op4_chunked_bpe, "op5_nra_topk": op5_nra_topk, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet, "op9_weak_pii": op9_weak_pii}
 
 
 def oracle_sql() -> dict[str, str]:
