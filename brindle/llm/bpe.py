@@ -11,6 +11,8 @@ the library's for the whole text.
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame
 from ._common import batches_of, ready
 
 #: Words and bytes of chunks that a worker keeps.
-KEPT_WORDS, KEPT_BYTES = 300_000, 48 << 20
+KEPT_WORDS, KEPT_BYTES = 600_000, 48 << 20
 #: Chunks have this many bytes on average, and a quarter of it at least.
 CHUNK = 1024
 SPAN = 12
+#: Words of these letters, with a stop or comma after them at most, are normalised the same way letter by letter.
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([.,]?)")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -44,35 +48,59 @@ class WordEncoder:
     """Encodes texts (bytes of UTF-8) to ids (bytes of little-endian unsigned 32-bit integers), word by word."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[bytes, bytes] = {}
+        # The same model for runs of lower-case letters, which need neither the normaliser nor the pattern.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         mark = self.tokenizer.encode(" \x00 ", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
 
     def _learn(self, words: Iterable[bytes]) -> None:
-        """Encode new words, many in one call: between two marks lies one word."""
-        plain, alone = [], []
+        """Encode new words: those of plain letters by their lower-case letters, the others by the whole tokenizer."""
+        plain: dict[str, list[tuple[bytes, str]]] = {}
+        others: list[tuple[bytes, str]] = []
+        match = LETTERS.fullmatch
         for w in words:
-            (alone if self.mark is None or b"\x00" in w else plain).append(w)
-        blocks = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        for block, done in zip(blocks, self.tokenizer.encode_batch_fast([" \x00 ".join(w.decode() for w in b) for b in blocks], add_special_tokens=False)):
-            ids = np.array(done.ids, dtype="<u4")
+            text = w.decode()
+            if m := match(text):
+                letters, mark = m.groups()
+                plain.setdefault(letters.lower(), []).append((w, mark))
+            else:
+                others.append((w, text))
+        marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ",."} | {"": b""}
+        known = self.words
+        for text, ids in self._many(self.bare, list(plain)):
+            for w, mark in plain[text]:
+                known[w] = ids + marks[mark]
+        back = {text: w for w, text in others}
+        for text, ids in self._many(self.tokenizer, list(back)):
+            known[back[text]] = ids
+
+    def _many(self, tokenizer: object, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words and their ids, many in one call: between two marks lies one word."""
+        alone = [w for w in words if self.mark is None or "\x00" in w]
+        plain = [w for w in words if "\x00" not in w] if alone else words
+        for k in range(0, len(plain) if self.mark is not None else 0, 500):
+            block = plain[k : k + 500]
+            ids = np.array(tokenizer.encode_batch_fast([" \x00 ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(block) - 1:
                 alone += block
                 continue
             raw, a = ids.tobytes(), 0
             for w, b in zip(block, [*(cuts * 4).tolist(), len(raw)]):
-                self.words[w] = raw[a:b]
+                yield w, raw[a:b]
                 a = b + 4
-        for w, done in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
-            self.words[w] = np.array(done.ids, dtype="<u4").tobytes()
+        for w in alone:
+            yield w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
@@ -81,8 +109,8 @@ class WordEncoder:
             self.words = known = dict(islice(known.items(), KEPT_WORDS // 2))
         new: set[bytes] = set()
         for words in split:
-            new.update(w for w in set(words) if w not in known)
-        if new:
+            new.update(words)
+        if new := new.difference(known):
             self._learn(new)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
