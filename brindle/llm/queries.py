@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mix, nra, pii, simhash, tokenbin
+from . import bpe, langid, mix, nra, pii, quality, simhash, tokenbin
 from ._common import table
 
 
@@ -17,6 +17,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -50,6 +54,10 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op7_bigru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op8_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenbin.write(table(spark, sf_dir, "documents"), word_bpe(), tokenbin.shared_path(spark, "tokens"))
     return tokenbin.digest(tokenbin.read(spark, path))
@@ -60,7 +68,16 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash_bktree": op3_simhash_bktree, "op4_chunked_bpe": op4_chunked_bpe, "op5_nra_topk": op5_nra_topk, "op6_curriculum_mix": op6_curriculum_mix, "op8_token_parquet": op8_token_parquet, "op9_weak_pii": op9_weak_pii}
+    return {
+        "op1_knn_quality": op1_knn_quality,
+        "op3_simhash_bktree": op3_simhash_bktree,
+        "op4_chunked_bpe": op4_chunked_bpe,
+        "op5_nra_topk": op5_nra_topk,
+        "op6_curriculum_mix": op6_curriculum_mix,
+        "op7_bigru_langid": op7_bigru_langid,
+        "op8_token_parquet": op8_token_parquet,
+        "op9_weak_pii": op9_weak_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
