@@ -27,8 +27,9 @@ KEPT_WORDS, KEPT_BYTES = 600_000, 48 << 20
 #: Chunks have this many bytes on average, and a quarter of it at least.
 CHUNK = 1024
 SPAN = 12
-#: Words of these letters, with a stop or comma after them at most, are normalised the same way letter by letter.
-LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([.,]?)")
+#: Words of these letters are normalised the same way letter by letter; a run of marks after them is a pre-token.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+NEVER = np.int64(1) << np.int64(40)
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -44,53 +45,123 @@ def checked(path: str) -> None:
         raise ValueError(f"{path}: white space must end a pre-token, and nothing may be added or stripped")
 
 
+class Merger:
+    """Byte-pair merges of many lower-case words at once: in each round every word takes its best merge, the leftmost of
+    equals, as the library does word by word."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in visible)}
+        self.inner = np.array([vocab.get(letter[b], -1) for b in range(256)], dtype="int64")
+        self.last = np.array([vocab.get(letter[b] + end, -1) for b in range(256)], dtype="int64")
+        keys = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], dtype="int64")
+        self.made = np.array([vocab[x + y] for x, y in pairs], dtype="int64")
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype("int64")
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        size = np.fromiter(map(len, words), "int64", len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        word = np.repeat(np.arange(len(words)), size)
+        symbol = self.inner[raw]
+        ends = np.cumsum(size) - 1
+        symbol[ends] = self.last[raw[ends]]
+        if (symbol < 0).any():
+            raise ValueError("a byte has no token")
+        rank = np.full(len(symbol), NEVER)
+        rank[:-1] = self.rank(symbol[:-1], symbol[1:])
+        rank[ends] = NEVER
+        ids, owners = [], []
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.minimum.reduceat(rank, first)
+            length = np.diff(np.append(first, len(symbol)))
+            live = np.repeat(best < NEVER, length)
+            if not live.all():
+                ids.append(symbol[~live])
+                owners.append(word[~live])
+                symbol, word, rank = symbol[live], word[live], rank[live]
+                length, best = length[best < NEVER], best[best < NEVER]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, length))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            symbol[at] = self.made[rank[at]]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            symbol, word, rank = symbol[keep], word[keep], rank[keep]
+            at -= np.arange(len(at))
+            for left in (at, at - 1):
+                left = left[left >= 0]
+                right = np.minimum(left + 1, len(symbol) - 1)
+                rank[left] = np.where((word[left] == word[right]) & (right > left), self.rank(symbol[left], symbol[right]), NEVER)
+        owner = np.concatenate(owners) if owners else np.zeros(0, "int64")
+        order = np.argsort(owner, kind="stable")
+        flat = (np.concatenate(ids)[order] if ids else owner).astype("<u4").tobytes()
+        cuts = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
 class WordEncoder:
     """Encodes texts (bytes of UTF-8) to ids (bytes of little-endian unsigned 32-bit integers), word by word."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[bytes, bytes] = {}
-        # The same model for runs of lower-case letters, which need neither the normaliser nor the pattern.
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merger = Merger(path)
+        self.marks: dict[str, bytes] = {"": b""}
         mark = self.tokenizer.encode(" \x00 ", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
 
     def _learn(self, words: Iterable[bytes]) -> None:
-        """Encode new words: those of plain letters by their lower-case letters, the others by the whole tokenizer."""
-        plain: dict[str, list[tuple[bytes, str]]] = {}
-        others: list[tuple[bytes, str]] = []
+        """Encode new words: plain letters by merging many at once, all others by the library."""
+        index: dict[str, int] = {}
+        own: list[bytes] = []
+        at: list[int] = []
+        after: list[str] = []
+        others: dict[str, bytes] = {}
         match = LETTERS.fullmatch
         for w in words:
-            text = w.decode()
-            if m := match(text):
+            if m := match(text := w.decode()):
                 letters, mark = m.groups()
-                plain.setdefault(letters.lower(), []).append((w, mark))
+                at.append(index.setdefault(letters.lower(), len(index)))
+                own.append(w)
+                after.append(mark)
             else:
-                others.append((w, text))
-        marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ",."} | {"": b""}
-        known = self.words
-        for text, ids in self._many(self.bare, list(plain)):
-            for w, mark in plain[text]:
-                known[w] = ids + marks[mark]
-        back = {text: w for w, text in others}
-        for text, ids in self._many(self.tokenizer, list(back)):
-            known[back[text]] = ids
-
-    def _many(self, tokenizer: object, words: list[str]) -> Iterator[tuple[str, bytes]]:
+                others[text] = w
+        known, marks = self.words, self.marks
+        for mark, ids in self._many(list(set(after).difference(marks))):
+            marks[mark] = ids
+        made = self.merger.encode([x.encode() for x in index])
+        known.update(zip(own, [made[i] + marks[x] if x else made[i] for i, x in zip(at, after)]))
+        for text, ids in self._many(list(others)):
+            known[others[text]] = ids
+        if len(marks) > 10_000:
+            self.marks = {"": b""}
+
+    def _many(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words and their ids, many in one call: between two marks lies one word."""
         alone = [w for w in words if self.mark is None or "\x00" in w]
         plain = [w for w in words if "\x00" not in w] if alone else words
         for k in range(0, len(plain) if self.mark is not None else 0, 500):
             block = plain[k : k + 500]
-            ids = np.array(tokenizer.encode_batch_fast([" \x00 ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" \x00 ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(block) - 1:
                 alone += block
@@ -100,7 +171,7 @@ class WordEncoder:
                 yield w, raw[a:b]
                 a = b + 4
         for w in alone:
-            yield w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            yield w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
