@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mix, nra, pii, quality, simhash, tokenbin
+from . import bpe, langid, mix, nra, pii, quality, simhash, suffix, tokenbin
 from ._common import table
 
 
@@ -67,6 +67,11 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summarise(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_radix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_quality": op1_knn_quality,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bigru_langid": op7_bigru_langid,
         "op8_token_parquet": op8_token_parquet,
         "op9_weak_pii": op9_weak_pii,
+        "op10_radix_suffix": op10_radix_suffix,
     }
 
 
