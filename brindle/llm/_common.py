@@ -61,4 +61,6 @@ def size_of(df: DataFrame) -> int:
 def parts_for(df: DataFrame, mb: float, least: int | None = None) -> int:
     """Partitions or buckets so that each takes a bounded share of the input at any size."""
     n = least or tasks(df.sparkSession)
+    if size_of(df) >= 1 << 60:  # rows from the driver or an RDD: the optimizer knows no size
+        return n
     return int(min(1_000_000, max(n, size_of(df) / (mb * 1e6))))
