@@ -25,7 +25,7 @@ from .bpe import texts_of
 
 RADIUS, BLOCKS, TILE = 3, 4, 16384
 #: Rows of whole shards that a task searches at once, and pairs of query and node.
-AT_ONCE, PAIRS = 200_000, 2_000_000
+AT_ONCE, PAIRS = 100_000, 300_000
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -121,14 +121,15 @@ class Forest:
                 q, node = q[live], node[live]
                 d = np.bitwise_count(self.key[q] ^ self.key[node]).astype("int64")
                 near = d <= radius
-                found.append(np.stack([label[q[near]], label[node[near]]]))
+                found.append(np.unique(label[q[near]] * n + label[node[near]]))
                 lo = np.searchsorted(self.slots, node * 65 + np.maximum(d - radius, 0), side="left")
                 hi = np.searchsorted(self.slots, node * 65 + np.minimum(d + radius, 64), side="right")
                 count = hi - lo
                 q = np.repeat(q, count)
                 offset = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(q))
                 node = self.by_slot[offset]
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), "int64")
+            pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, "int64")
+            pairs = np.stack([pairs // n, pairs % n])
             label = merged(label, pairs[:, pairs[0] != pairs[1]])
             a = b
         return label
