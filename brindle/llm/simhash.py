@@ -103,22 +103,20 @@ class Forest:
         n = len(self.key)
         label = np.arange(n)
         order = np.argsort(self.level, kind="stable")
-        a, step = 0, 1024
-        size = np.bincount(self.root_of, minlength=n)[self.root_of]
+        a, step = 0, max(1, min(1024, PAIRS // max(1, int(np.bincount(self.root_of).max(initial=1)))))
         while a < n:
             low, high = label.copy(), label.copy()
             for rows in self.deep:  # what a subtree's labels span
                 np.minimum.at(low, self.parent[rows], low[rows])
                 np.maximum.at(high, self.parent[rows], high[rows])
             whole = np.where(low == high, low, -1)
-            total = np.cumsum(size[order[a : a + 65536]])
-            b = a + max(1, min(step, int(np.searchsorted(total, PAIRS, side="right"))))
-            step = min(65536, step * 4)
+            b, visits = min(n, a + step), 0
             q = order[a:b]
             node, found = self.root_of[q], []
             while len(q):
                 live = whole[node] != label[q]
                 q, node = q[live], node[live]
+                visits += len(q)
                 d = np.bitwise_count(self.key[q] ^ self.key[node]).astype("int64")
                 near = d <= radius
                 found.append(np.unique(label[q[near]] * n + label[node[near]]))
@@ -131,6 +129,7 @@ class Forest:
             pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, "int64")
             pairs = np.stack([pairs // n, pairs % n])
             label = merged(label, pairs[:, pairs[0] != pairs[1]])
+            step = max(1, min(4 * step, PAIRS * (b - a) // max(1, visits)))  # what the last round took bounds the next
             a = b
         return label
 
