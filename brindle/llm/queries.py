@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mix, nra, pii, quality, simhash, suffix, tokenbin
+from . import bpe, langid, mix, nra, perplexity, pii, quality, simhash, suffix, tokenbin
 from ._common import table
 
 
@@ -21,16 +21,25 @@ def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_kn_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), word_bpe()), word_bpe())
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    """What op4 returns, for any documents."""
+    rows = bpe.decode(bpe.encode(docs, word_bpe()), word_bpe())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -75,6 +84,7 @@ def op10_radix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_quality": op1_knn_quality,
+        "op2_kn_perplexity": op2_kn_perplexity,
         "op3_simhash_bktree": op3_simhash_bktree,
         "op4_chunked_bpe": op4_chunked_bpe,
         "op5_nra_topk": op5_nra_topk,
