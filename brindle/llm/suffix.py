@@ -96,7 +96,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
         texts: list[bytes] = []
-        held, pack = 0, zstandard.ZstdCompressor(level=1)
+        held, pack = 0, zstandard.ZstdCompressor(level=6)
 
         def out() -> pa.RecordBatch:
             row = [uuid.uuid4().hex, np.array([x or 0 for x in ids], "int64").tobytes(), np.array([x is not None for x in ids], "uint8").tobytes(), np.array(list(map(len, texts)), "int64").tobytes(), pack.compress(b"".join(texts))]
@@ -211,17 +211,18 @@ def _sorted_windows(contents: list[bytes], doc: np.ndarray, number: np.ndarray)
 def _second_pass(blocks: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
     """block, ranges: windows (as first and last + 1 in the block) that also start in a smaller document."""
     by_block = codes.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))
-    joined = blocks.join(by_block.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"))
+    # An outer join as in the last step, so that both read one exchange of the blocks.
+    joined = blocks.join(by_block.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"), "left")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=4), zstandard.ZstdDecompressor()
         for b in batches:
             for row in b.to_pylist():
                 data, size, ids, known = _opened(row)
                 at, count, keys, doc = stretches(np.frombuffer(data, np.uint8), size, known, buckets)
                 distinct, _ = _met(doc, keys)
                 code = np.zeros(len(distinct), "uint8")
-                got = {c["bucket"]: c["codes"] for c in row["codes"]}
+                got = {c["bucket"]: c["codes"] for c in row["codes"] or []}
                 for bucket, s in _by_bucket(distinct):
                     code[s] = np.frombuffer(unpack.decompress(got[bucket], max_output_size=s.stop - s.start), "uint8")
                 own = code[np.searchsorted(distinct, keys)] if len(keys) else code
