@@ -31,7 +31,7 @@ from ._common import batches_of, parts_for, ready
 
 DEPTH, RUN = 50, 24
 #: Bytes of a block, blocks that share a number before it is dealt out by windows.
-BLOCK, HOT = 2 << 20, 64
+BLOCK, HOT = 2 << 20, 4096
 _M = 0x9E3779B97F4A7C15
 _PASSES = (0, 8, 16, 24, 32, 40, DEPTH - 8)
 
