@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,11 @@ def parts_for(df: DataFrame, mb: float, least: int | None = None) -> int:
     if size_of(df) >= 1 << 60:  # rows from the driver or an RDD: the optimizer knows no size
         return n
     return int(min(1_000_000, max(n, size_of(df) / (mb * 1e6))))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder as Parquet and read again: cuts lineage with less disk than a checkpoint."""
+    spark = ready(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches_of, ready
+from ._common import batches_of, parts_for, ready, staged
 from .bpe import texts_of
 
 ORDER, BITS = 5, 22
@@ -93,9 +95,13 @@ def _slots(run: np.ndarray, lang: str) -> np.ndarray:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, run, n: how often each run of bytes stands in the texts of each language (null: '')."""
+    """lang, run, n: how often each run of bytes stands in the texts of each language (null: '').
+
+    A task passes on sorted runs and counts by hash bucket, packed; the counts of a bucket are added up by Spark's groups.
+    """
     spark = ready(docs.sparkSession)
     batches_of(spark, 512)
+    buckets = parts_for(docs, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -105,11 +111,16 @@ def counts(docs: DataFrame) -> DataFrame:
             return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype("int64")
 
         def out() -> Iterator[pa.RecordBatch]:
+            pack = zstandard.ZstdCompressor(level=1)
             for lang, parts in held.items():
                 keys, n = folded(parts)
-                for a in range(0, len(keys), 100_000):
-                    k = keys[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[a : a + 100_000])], ["lang", "run", "n"])
+                bucket = (keys.view("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype("int64") % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                split = [order[cuts[i] : cuts[i + 1]] for i in full]
+                runs = [pack.compress(np.diff(keys[k], prepend=0).tobytes()) for k in split]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full.astype("int32")), pa.array(runs, pa.binary()), pa.array([pack.compress(n[k].tobytes()) for k in split], pa.binary())], ["lang", "bucket", "runs", "n"])
             held.clear()
 
         for b in batches:
@@ -124,13 +135,22 @@ def counts(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    sent = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, "lang string, run long, n long")
-    return sent.groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor()
+        runs = np.concatenate([np.cumsum(np.frombuffer(unpack.decompress(x), "int64")) for x in f["runs"]])
+        n = np.concatenate([np.frombuffer(unpack.decompress(x), "int64") for x in f["n"]])
+        keys, back = np.unique(runs, return_inverse=True)
+        total = np.zeros(len(keys), "int64")
+        np.add.at(total, back, n)
+        return pd.DataFrame({"lang": f["lang"].iloc[0], "run": keys, "n": total})
+
+    sent = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, "lang string, bucket int, runs binary, n binary")
+    return sent.groupBy("lang", "bucket").applyInPandas(add, "lang string, run long, n long")
 
 
 def kneser_ney(counted: DataFrame) -> DataFrame:
     """lang, run, logp of modified Kneser-Ney from ``counts``; the lowest order backs off to one in 256."""
-    orders = [counted.checkpoint()]
+    orders = [staged(counted, "runs")]
     for k in range(ORDER - 1, 0, -1):  # below the highest order, distinct left extensions are counted
         orders.append(orders[-1].groupBy("lang", F.col("run").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("run")).agg(F.count(F.lit(1)).alias("n")))
     lower: DataFrame | None = None
@@ -141,7 +161,7 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
         d = t.groupBy("lang").agg(*of).select("lang", *[ratio(i).alias(f"d{i}") for i in (1, 2, 3)])
         with_d = t.join(F.broadcast(d), "lang").withColumn("ctx", F.shiftright("run", 8))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        with_d = with_d.withColumn("cut", cut)
+        with_d = with_d.select("lang", "run", "ctx", "n", cut.alias("cut"))
         ctx = with_d.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
         p = with_d.join(ctx, ["lang", "ctx"])
         own = F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total")
@@ -201,7 +221,7 @@ def judged(docs: DataFrame, wide: float = WIDE, short: float = SHORT) -> DataFra
     base; a null language is a language of its own; ids may be null and rows may repeat; an empty table gives an empty
     table.  Counts cover all documents, however many times a text is repeated.
     """
-    rows = scored(docs).checkpoint()
+    rows = staged(scored(docs), "scored")
     quarter = [F.percentile_approx("log_perplexity", q, 1000).alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]
     bands = rows.where("n_words >= 20").groupBy("lang").agg(*quarter).withColumnRenamed("lang", "_lang")
     banded = rows.join(bands, F.col("lang") == F.col("_lang"), "left")
