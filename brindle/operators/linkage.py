@@ -5,8 +5,7 @@ blocking keys (their pairs are found by rarer tokens or not at all, as in the we
 token's group is unbounded.  Scores are sums over shared tokens, a partial aggregation.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +66,6 @@ def affine_distance(a: str, b: str, match: float = -5.0, mismatch: float = 5.0,
 
 def affine_similarity(pairs: DataFrame, a: str, b: str, out: str = "affine") -> DataFrame:
     """Distance of two text columns in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:

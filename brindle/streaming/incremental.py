@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event-time window and key; rows later than the watermark are dropped and state is freed."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).count()
 
 
