@@ -481,8 +481,12 @@ def affine_gap_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_more  # noqa: F401  it registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_more  # noqa: F401
+
     return dict(ORACLE)
