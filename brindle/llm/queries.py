@@ -81,6 +81,21 @@ def op10_radix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Windows of 50 bytes as 100 hexadecimal digits; runs of removed bytes are islands of window starts at most 50 apart.
+OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS c FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+m AS (SELECT c, min(doc_id) AS least FROM w GROUP BY c HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN m USING (c) WHERE doc_id > least),
+i AS (SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+k AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s) AS kept, max(e) AS last
+  FROM (SELECT i.doc_id, s, e, h, coalesce(lag(e) OVER (PARTITION BY i.doc_id ORDER BY s), 0) AS a FROM i JOIN d USING (doc_id)) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE k.kept || substring(h, 2 * k.last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_quality": op1_knn_quality,
@@ -97,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_nra_topk": OP5}
+    return {"op5_nra_topk": OP5, "op10_radix_suffix": OP10}
