@@ -39,8 +39,8 @@ def naive_bayes_predict(df: DataFrame, model: DataFrame, attributes: list[str],
     prior = priors.select(F.col(label).cast("string").alias("label"), F.log((F.col("count") + 1) / F.lit(float((k["n"] or 0) + k["k"]))).alias("prior"))
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
     long = df.select(key, F.explode(pairs).alias("x")).select(key, "x.*")
-    logs = long.join(F.broadcast(model), ["attribute", "value"]).groupBy(key, "label").agg(F.sum(F.log("probability")).alias("score"))
-    total = logs.join(F.broadcast(prior), "label").withColumn("score", F.col("score") + F.col("prior"))
+    logs = long.join(model, ["attribute", "value"]).groupBy(key, "label").agg(F.sum(F.log("probability")).alias("score"))
+    total = logs.join(prior, "label").withColumn("score", F.col("score") + F.col("prior"))
     return total.groupBy(key).agg(F.min_by("label", F.struct(-F.round("score", 9), F.col("label"))).alias("prediction"))
 
 
