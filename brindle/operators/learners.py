@@ -32,9 +32,9 @@ def naive_bayes_counts(df: DataFrame, attributes: list[str], label: str) -> Data
     return cells.select("attribute", "value", "label", F.round((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("k")), 8).alias("probability"))
 
 
-def naive_bayes_predict(df: DataFrame, model: DataFrame, attributes: list[str], label: str, key: str) -> DataFrame:
-    """key, prediction, from log probabilities summed over attributes; priors with one added."""
-    priors = df.where(F.col(label).isNotNull()).groupBy(label).count()
+def naive_bayes_predict(df: DataFrame, model: DataFrame, attributes: list[str], label: str, key: str, trained: DataFrame | None = None) -> DataFrame:
+    """key, prediction, from log probabilities summed over attributes; priors of ``trained`` (else ``df``) with one added."""
+    priors = (trained if trained is not None else df).where(F.col(label).isNotNull()).groupBy(label).count()
     k = priors.agg(F.count(F.lit(1)).alias("k"), F.sum("count").alias("n")).first()
     prior = priors.select(F.col(label).cast("string").alias("label"), F.log((F.col("count") + 1) / F.lit(float((k["n"] or 0) + k["k"]))).alias("prior"))
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])

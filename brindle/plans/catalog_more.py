@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ranges
-from ..operators import estimators, evaluation, learners, linkage, neighbours, relational, transforms
+from ..operators import estimators, evaluation, learners, linkage, neighbours, relational, supervised, transforms
 from ..sources import generators
 from .catalog import _CLASS, _items, _predictions, query, table
 
@@ -155,3 +155,42 @@ def generated_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.grid_clusters(spark, 4, 500).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x1"), 1).alias("x1"))
+
+
+@query("""WITH c AS (SELECT l_discount AS t, count(*) FILTER (l_linestatus = 'F') AS p, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT t, sum(p) OVER (ORDER BY t DESC) AS tp, sum(n) OVER (ORDER BY t DESC) AS n, sum(p) OVER () AS a FROM c)
+SELECT t AS threshold, round(2 * tp / (n + a), 6) AS f_measure FROM s ORDER BY 2 DESC, 1 DESC LIMIT 1""")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supervised.best_threshold(table(spark, sf_dir, "lineitem").select("l_discount", (F.col("l_linestatus") == "F").alias("y")), "y", "l_discount")
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'F' ELSE 'O' END AS a, CASE WHEN l_tax > 0.04 THEN 'F' ELSE 'O' END AS b, CASE WHEN l_discount > 0.05 THEN 'F' ELSE 'O' END AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN (a = 'F')::INT + (b = 'F')::INT + (c = 'F')::INT >= 2 THEN 'F' ELSE 'O' END AS vote FROM v""")
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = lambda c, x: F.when(F.col(c) > x, "F").otherwise("O")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rule("l_quantity", 25).alias("a"), rule("l_tax", 0.04).alias("b"), rule("l_discount", 0.05).alias("c"))
+    return supervised.vote(items, ["a", "b", "c"]).select("l_orderkey", "l_linenumber", "vote")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN 5 * (l_quantity / 50) < 1 * (1 - l_quantity / 50) THEN 'O' ELSE 'F' END AS prediction FROM lineitem")
+def least_expected_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("pf"), (1 - F.col("l_quantity") / 50).alias("po"))
+    return supervised.least_cost(items, {"F": "pf", "O": "po"}, {("F", "O"): 5.0, ("O", "F"): 1.0}).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query()
+def entropy_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_quantity") > 20).cast("string").alias("y"))
+    return spark.createDataFrame([(i, round(c, 4)) for i, c in enumerate(supervised.mdl_cuts(items, "l_quantity", "y"))], "i int, cut double")
+
+
+@query()
+def cross_validated_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_linestatus", "l_linenumber", "l_returnflag")
+    names = ["l_linestatus", "l_linenumber"]
+
+    def learn(train: DataFrame, test: DataFrame) -> DataFrame:
+        model = learners.naive_bayes_counts(train, names, "l_returnflag")
+        # The priors are those of the training rows.
+        return learners.naive_bayes_predict(test, model, names, "l_returnflag", "k", trained=train)
+
+    return supervised.cross_validated(items, "l_returnflag", 3, "k", learn)
