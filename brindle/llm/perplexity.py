@@ -224,7 +224,8 @@ def judged(docs: DataFrame, wide: float = WIDE, short: float = SHORT) -> DataFra
     rows = staged(scored(docs), "scored")
     quarter = [F.percentile_approx("log_perplexity", q, 1000).alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]
     bands = rows.where("n_words >= 20").groupBy("lang").agg(*quarter).withColumnRenamed("lang", "_lang")
-    banded = rows.join(bands, F.col("lang") == F.col("_lang"), "left")
+    # One row a language; a language may hold most rows, so they are not dealt out by it.
+    banded = rows.join(F.broadcast(bands), F.col("lang") == F.col("_lang"), "left")
     half = F.greatest(F.col("_q2") - F.col("_q0"), F.lit(0.01)) * (F.lit(wide) + F.lit(short) / F.sqrt(F.greatest("n_bytes", F.lit(1))))
     low, high = F.col("_q1") - half, F.col("_q1") + half
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
