@@ -25,8 +25,8 @@ from .bpe import texts_of
 ORDER, BITS = 5, 22
 #: Distinct runs that a task holds before it passes their counts on.
 HELD = 2_000_000
-#: Half width of a band in interquartile ranges, and in ranges times the square root of a text's bytes.
-WIDE, SHORT = 4.0, 40.0
+#: Half width of a band in interquartile ranges of texts of that length; texts that a class of lengths needs to be measured.
+WIDE, MEASURED = 2.0, 16
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 SPACE = np.zeros(256, bool)
@@ -213,22 +213,43 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None)
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(n + ' long' for n in names)}, n_bytes long, log_perplexity double")
 
 
-def judged(docs: DataFrame, wide: float = WIDE, short: float = SHORT) -> DataFrame:
+def ranges_by_length(rows: DataFrame) -> DataFrame:
+    """lang, a, b: the squared interquartile range of log perplexities at n bytes is about a + b / n, neither below 0.
+
+    Ranges are measured in classes of lengths that double; a least-squares line goes through those of a language.
+    """
+    quarter = [F.percentile_approx("log_perplexity", q, 10000).alias(f"q{i}") for i, q in ((1, 0.25), (3, 0.75))]
+    classes = rows.groupBy("lang", F.floor(F.log2("n_bytes")).alias("class")).agg(*quarter, F.avg(1 / F.col("n_bytes")).alias("x"), F.count(F.lit(1)).alias("n"))
+    x, y, w = F.col("x"), (F.col("q3") - F.col("q1")) ** 2, F.col("n") / F.col("x")
+    line = classes.where(F.col("n") >= MEASURED).groupBy("lang").agg(*[F.sum(v).alias(k) for k, v in {"w": w, "wx": w * x, "wy": w * y, "wxx": w * x * x, "wxy": w * x * y}.items()])
+    c = {k: F.col(k) for k in ("w", "wx", "wy", "wxx", "wxy")}
+    spread = c["w"] * c["wxx"] - c["wx"] * c["wx"]
+    slope = F.when(spread > 1e-9 * c["w"] * c["wxx"], (c["w"] * c["wxy"] - c["wx"] * c["wy"]) / F.when(spread > 0, spread)).otherwise(F.lit(0.0))
+    fitted = line.withColumn("b", slope).withColumn("a", (c["wy"] - F.col("b") * c["wx"]) / c["w"])
+    a = F.when(F.col("b") < 0, c["wy"] / c["w"]).when(F.col("a") < 0, F.lit(0.0)).otherwise(F.col("a"))
+    b = F.when(F.col("b") < 0, F.lit(0.0)).when(F.col("a") < 0, c["wxy"] / c["wxx"]).otherwise(F.col("b"))
+    return fitted.select("lang", a.alias("a"), b.alias("b"))
+
+
+def judged(docs: DataFrame, wide: float = WIDE) -> DataFrame:
     """doc_id, base counts, base_failed, log_perplexity and kept of every whole text.
 
-    A band is the median of a language's log perplexities, give or take ``wide`` interquartile ranges and, as short texts
-    vary more, ``short`` ranges divided by the square root of the bytes.  Null and empty texts have no word and fail the
+    A band is the median of a language's log perplexities, give or take ``wide`` interquartile ranges.  As short texts
+    vary more, the range is that of texts of such a length; languages with too few texts to tell have one for all lengths.
+    Bands are taken from the texts that pass the base.  Null and empty texts have no word and fail the
     base; a null language is a language of its own; ids may be null and rows may repeat; an empty table gives an empty
     table.  Counts cover all documents, however many times a text is repeated.
     """
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = staged(scored(docs), "scored")
-    quarter = [F.percentile_approx("log_perplexity", q, 1000).alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]
-    bands = rows.where("n_words >= 20").groupBy("lang").agg(*quarter).withColumnRenamed("lang", "_lang")
+    fair = rows.where(~failed)
+    quarter = [F.percentile_approx("log_perplexity", q, 10000).alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]
+    bands = fair.groupBy("lang").agg(*quarter).join(ranges_by_length(fair), "lang", "left").withColumnsRenamed({"lang": "_lang", "a": "_a", "b": "_b"})
     # One row a language; a language may hold most rows, so they are not dealt out by it.
     banded = rows.join(F.broadcast(bands), F.col("lang") == F.col("_lang"), "left")
-    half = F.greatest(F.col("_q2") - F.col("_q0"), F.lit(0.01)) * (F.lit(wide) + F.lit(short) / F.sqrt(F.greatest("n_bytes", F.lit(1))))
+    spread = F.coalesce(F.sqrt(F.col("_a") + F.col("_b") / F.greatest("n_bytes", F.lit(1))), F.col("_q2") - F.col("_q0"))
+    half = F.lit(wide) * F.greatest(spread, F.lit(0.005))
     low, high = F.col("_q1") - half, F.col("_q1") + half
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(low, high), F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return banded.select("doc_id", *names, failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_perplexity")

@@ -89,6 +89,13 @@ def test_base_counts_and_bands(docs, odd, empty, rows):
     assert perplexity.judged(odd).count() == 5 and perplexity.judged(empty).count() == 0
 
 
+def test_bands_reject_junk_and_keep_clean_texts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    both = perplexity.judged(docs).where("NOT base_failed").join(labels, "doc_id").where("crc32(cast(doc_id AS string)) % 4 <> 2").groupBy("quality")
+    share = {r["quality"]: r["kept"] for r in both.agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[0] < 0.6 and share[1] > 0.9
+
+
 def test_kneser_ney_sums_to_one_and_matches_counts(spark, docs, rows):
     counted = perplexity.counts(docs)
     want = Counter()
