@@ -2,9 +2,9 @@
 
 The model is a modified Kneser-Ney model over runs of ``ORDER`` bytes, one for each language.  Spark counts the runs of
 all documents; continuation counts, the three discounts and the interpolation of each order are joins and aggregations
-of those counts.  What scoring needs, one log probability for each run that was met, is stored as sorted hash arrays.
-Hashes have ``BITS`` bits, which bounds the broadcast arrays at any input size (2**22 entries of 8 bytes); runs that
-share a hash share their mean.
+of those counts.  What scoring needs is one log probability for each run that was met, and grows with the runs.  Up to
+``MOST`` of the most frequent runs are broadcast as sorted arrays of hashes (``BITS`` bits, so that runs do not share one)
+and log probabilities; where there are more runs, the rarer ones stay a table and are joined to the texts that have them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ._common import batches_of, parts_for, ready, staged
 from .bpe import texts_of
 
-ORDER, BITS = 5, 22
+ORDER, BITS = 5, 63
+#: Runs that are broadcast, of 12 bytes each.
+MOST = 1 << 22
 #: Distinct runs that a task holds before it passes their counts on.
 HELD = 2_000_000
 #: Half width of a band in interquartile ranges of texts of that length; texts that a class of lengths needs to be measured.
@@ -149,7 +151,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counted: DataFrame) -> DataFrame:
-    """lang, run, logp of modified Kneser-Ney from ``counts``; the lowest order backs off to one in 256."""
+    """lang, run, n, logp of modified Kneser-Ney from ``counts``; the lowest order backs off to one in 256."""
     orders = [staged(counted, "runs")]
     for k in range(ORDER - 1, 0, -1):  # below the highest order, distinct left extensions are counted
         orders.append(orders[-1].groupBy("lang", F.col("run").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("run")).agg(F.count(F.lit(1)).alias("n")))
@@ -166,51 +168,93 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
         p = with_d.join(ctx, ["lang", "ctx"])
         own = F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total")
         if lower is None:
-            lower = p.select("lang", "run", (own + F.col("mass") / F.col("total") / 256).alias("p"))
+            lower = p.select("lang", "run", "n", (own + F.col("mass") / F.col("total") / 256).alias("p"))
         else:
             width = (1 << (8 * (order - 1))) - 1
-            below = lower.withColumnsRenamed({"run": "_low", "p": "_p"})
+            below = lower.select("lang", F.col("run").alias("_low"), F.col("p").alias("_p"))
             p = p.withColumn("_low", F.col("run").bitwiseAND(F.lit(width)))
-            lower = p.join(below, ["lang", "_low"]).select("lang", "run", (own + F.col("mass") / F.col("total") * F.col("_p")).alias("p"))
-    return lower.select("lang", "run", F.log("p").alias("logp"))
+            lower = p.join(below, ["lang", "_low"]).select("lang", "run", "n", (own + F.col("mass") / F.col("total") * F.col("_p")).alias("p"))
+    return lower.select("lang", "run", "n", F.log("p").alias("logp"))
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model as sorted hashes and their log probabilities."""
-    slot = F.xxhash64("lang", "run").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("slot")
-    rows = kneser_ney(counts(docs)).select(slot, "logp").groupBy("slot").agg(F.avg("logp").cast("float").alias("logp")).toArrow()
+Model = tuple[np.ndarray, np.ndarray, DataFrame | None, float]
+
+
+def fit(docs: DataFrame, most: int | None = None) -> Model:
+    """Sorted hashes of the ``most`` most frequent runs and their log probabilities, a table of all other runs (lang, run,
+    logp) or None, and the least log probability of all."""
+    most = MOST if most is None else most
+    model = staged(kneser_ney(counts(docs)).select("lang", "run", F.floor(8 * F.log2("n")).alias("size"), F.col("logp").cast("float").alias("logp")), "model")
+    cut, held = 0, 0
+    for r in sorted(model.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > most:
+            cut = r["size"] + 1
+            break
+    rows = model.where(F.col("size") >= cut).select(F.xxhash64("lang", "run").bitwiseAND(F.lit((1 << BITS) - 1)).alias("slot"), "logp").toArrow()
     slots, logp = rows.column("slot").to_numpy(), rows.column("logp").to_numpy()
     order = np.argsort(slots)
-    return slots[order], logp[order]
+    least = model.agg(F.min("logp")).first()[0]
+    return slots[order], logp[order], model.where(F.col("size") < cut).drop("size") if held > most else None, 0.0 if least is None else least
+
+
+class Lookup:
+    """Places in sorted hashes: the top bits say where to begin."""
+
+    def __init__(self, slots: np.ndarray) -> None:
+        bits = max(1, len(slots).bit_length() - 1)
+        self.slots = np.append(slots, np.iinfo("int64").max)
+        self.shift = BITS - bits
+        self.first = np.searchsorted(slots, np.arange(1 << bits, dtype="int64") << self.shift).astype("int32")
+
+    def __call__(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each wanted hash, and whether it is there."""
+        at = self.first[want >> self.shift]
+        left = np.flatnonzero(self.slots[at] < want)
+        while len(left):
+            at[left] += 1
+            left = left[self.slots[at[left]] < want[left]]
+        return at, self.slots[at] == want
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, lang ('' for null), the base counts, n_bytes and log_perplexity (per byte; null for empty texts)."""
     spark = ready(docs.sparkSession)
     batches_of(spark, 512)
-    shared = spark.sparkContext.broadcast(model or fit(docs))
+    slots, logp, rare, least = model or fit(docs)
+    shared = spark.sparkContext.broadcast((slots, np.append(logp, np.float32(least))))
     kind = dict(docs.dtypes)["doc_id"]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    split = rare is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, logp = shared.value
-        dense = np.full(1 << BITS, logp.min() if len(logp) else 0.0, np.float32)  # unseen: the least likely
-        dense[slots] = logp
+        lookup = Lookup(slots)
         for b in batches:
             texts, langs = texts_of(b.column(2)), b.column(1).to_pylist()
-            value = np.full(len(texts), np.nan)
+            value, rest = np.zeros(len(texts)), [None] * len(texts)
             for lang in set(langs):
                 own = [i for i, x in enumerate(langs) if x == lang]
                 got, size = _runs([texts[i] for i in own])
-                total = np.concatenate([[0.0], np.cumsum(dense[_slots(got, lang)], dtype="float64")])
+                at, known = lookup(_slots(got, lang))
+                each = np.where(known, logp[np.where(known, at, 0)], np.float32(0) if split else logp[-1])  # unseen: the least likely
+                total = np.concatenate([[0.0], np.cumsum(each, dtype="float64")])
                 ends = np.cumsum(size)
-                value[own] = np.where(size > 0, -(total[ends] - total[ends - size]) / np.maximum(size, 1), np.nan)
+                value[own] = total[ends] - total[ends - size]
+                for i, e, n in zip(own, ends.tolist(), size.tolist()) if split else ():
+                    rest[i] = got[e - n : e][~known[e - n : e]]
             base = np.array([base_counts(t) for t in texts], "int64").reshape(-1, 5)
             sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in np.ascontiguousarray(base.T)), sizes, pa.array(value, mask=np.isnan(value))], ["doc_id", "lang", *names, "n_bytes", "log_perplexity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in np.ascontiguousarray(base.T)), sizes, pa.array(value), pa.array(rest, pa.list_(pa.int64()))], ["doc_id", "lang", *names, "n_bytes", "_total", "_rest"])
 
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(n + ' long' for n in names)}, n_bytes long, log_perplexity double")
+    out = rows.mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(n + ' long' for n in names)}, n_bytes long, _total double, _rest array<long>")
+    if split:  # the runs that are not broadcast are rare, so none has many rows
+        out = staged(out.withColumn("_row", F.monotonically_increasing_id()), "partly")
+        met = out.select("_row", "lang", F.explode("_rest").alias("run")).join(rare, ["lang", "run"], "left")
+        more = met.groupBy("_row").agg(F.sum(F.coalesce("logp", F.lit(least))).alias("_more"))
+        out = out.join(more, "_row", "left").withColumn("_total", F.col("_total") + F.coalesce("_more", F.lit(0.0)))
+    return out.select("doc_id", "lang", *names, "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("_total") / F.col("n_bytes")).alias("log_perplexity"))
 
 
 def ranges_by_length(rows: DataFrame) -> DataFrame:

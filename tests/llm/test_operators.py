@@ -120,6 +120,18 @@ def test_perplexity_of_lookup_equals_model(docs, rows):
         assert abs(got[i] - want) < 0.02
 
 
+def test_every_run_keeps_its_own_probability(spark, sf, docs):
+    many = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(perplexity.fit(many)[0]) == perplexity.counts(many).count()
+    whole, parted = perplexity.fit(docs), perplexity.fit(docs, 300)
+    assert whole[2] is None and 0 < len(parted[0]) <= 300 and len(parted[0]) + parted[2].count() == len(whole[0])
+    want, got = ({r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(docs, m).collect()} for m in (whole, parted))
+    assert want.keys() == got.keys() and all(want[i] == pytest.approx(got[i], abs=1e-6) for i in want)
+    other = docs.withColumn("text", F.lit("quite unseen ~~~"))  # runs that are in no model
+    want, got = ({r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(other, m).collect()} for m in (whole, parted))
+    assert all(want[i] == pytest.approx(got[i], abs=1e-6) for i in want)
+
+
 def test_simhash_groups(docs, odd, empty, rows, monkeypatch):
     want = brute.groups(rows)
     for tile in (simhash.TILE, 8):
