@@ -1,7 +1,11 @@
 """The stages one by one: what each keeps and that its decisions show."""
 
+import random
+
+import numpy as np
+
 import corpus_pipeline
-from brindle.llm import mix, quality, queries
+from brindle.llm import mix, neardup, quality, queries
 
 
 def test_stages(spark, tmp_path):
@@ -24,3 +28,53 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() == corpus_pipeline.run(spark, sf).count()
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, queries.bpe_digest(docs).collect()))
+
+
+def jaccard_groups(texts, least=0.8):
+    """The group of each text over all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b) > 0:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_near_copies_are_dropped(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    texts += ["One two", "ONE  two", "one", "", None, " ", "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = jaccard_groups(texts)
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    assert sorted(r[0] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").select("doc_id").collect()) == sorted(first.values())
+
+
+def test_linked_sets_are_those_of_all_pairs():
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(12):
+        x = np.unique(rng.integers(0, 2**63, 50, dtype="uint64"))
+        for _ in range(8):
+            sets.append(x)
+            x = np.unique(np.where(rng.random(len(x)) < 0.08, rng.integers(0, 2**63, len(x), dtype="uint64"), x))
+    near = np.array([[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    want = np.arange(len(sets))
+    while (new := np.where(near, want[None, :], len(sets)).min(axis=1)).tolist() != want.tolist():
+        want = new
+    got = neardup.linked(sets)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) > 12
