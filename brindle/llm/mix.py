@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import n_words, ready, tasks
+from ._common import n_words, ready, staged, tasks
 
 Schedule = tuple[list[float], list[float]]
 
@@ -91,7 +91,7 @@ def source_targets(sizes: DataFrame, weight_of: Callable[[int], int] = cyclic_we
     return ranked.withColumn("target", F.least(most, F.lit(float(level)) * F.col("weight")))
 
 
-def curriculum_mix(docs: DataFrame, schedule_of: Callable[[int], Schedule] = default_schedule, weight_of: Callable[[int], int] = cyclic_weight, period: int = 3, cap: float = 3.0) -> DataFrame:
+def curriculum_mix(docs: DataFrame, schedule_of: Callable[[int], Schedule] = default_schedule, weight_of: Callable[[int], int] = cyclic_weight, period: int = 3, cap: float = 3.0, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, positions, position; sorted by position.
 
     ``size`` counts words (null or empty text: 0), ``taken`` is a whole number of passes over the document times its
@@ -100,13 +100,14 @@ def curriculum_mix(docs: DataFrame, schedule_of: Callable[[int], Schedule] = def
     left of the target, in an order fixed by a hash of the id; so the words taken miss the target by half a document at
     most, and reruns agree.  Rows that take nothing (empty texts, sources below one pass) have no position and come
     first.  A null source is a source of its own, last in order; null ids are allowed; equal rows are mixed as separate
-    documents; an empty table gives an empty table.  Other columns are ignored.
+    documents; an empty table gives an empty table.  Other columns are ignored, but ``row`` is kept: a key of whole rows (long).
     """
     spark = ready(docs.sparkSession)
-    base = docs.select("doc_id", "source", n_words().alias("size")).checkpoint()
+    key = [row] if row else []
+    base = docs.select("doc_id", "source", n_words().alias("size"), *key).checkpoint()
     sources = source_targets(base, weight_of, period, cap)
     joined = base.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    order = ["rank", "_h", "doc_id", "size"]
+    order = ["rank", "_h", "doc_id", "size", *key]
     laid = joined.withColumn("_h", F.xxhash64(F.col("doc_id"))).repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
     laid = laid.withColumn("_pid", F.spark_partition_id()).checkpoint()
     sums = laid.groupBy("_pid", "rank").agg(F.sum("size").alias("n")).groupBy("_pid").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max_by("n", "rank").alias("n"))
@@ -143,19 +144,28 @@ def curriculum_mix(docs: DataFrame, schedule_of: Callable[[int], Schedule] = def
                 for turn in range(int(n.max(initial=0))):
                     for i, u in zip(k := np.flatnonzero((n > turn) & (ranks % period == kind)), invert(schedule, (turn * whole[k] + middle[k]) / np.maximum(target[k], 1e-9))):
                         at[i].append(float(u))
-            out = f[["doc_id", "source", "size", "source_size", "target"]].copy()
+            out = f[["doc_id", "source", "size", "source_size", "target", *key]].copy()
             out["taken"] = size * n
             out["positions"] = at
             out["position"] = pd.Series([x[0] if x else None for x in at], index=f.index, dtype="float64")
             yield out
 
     kinds = dict(docs.select("doc_id", "source").dtypes)
-    placed = laid.mapInPandas(place, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long, source_size long, target double, taken long, positions array<double>, position double")
+    placed = laid.mapInPandas(place, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long, source_size long, target double{f', {row} long' if row else ''}, taken long, positions array<double>, position double")
     placed = placed.withColumn("position", F.when(F.size("positions") > 0, F.col("position")))
     return placed.repartitionByRange(tasks(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents that the mix takes, once per pass, range-sorted by training position."""
-    turns = mixed.where("taken > 0").select("doc_id", F.explode("positions").alias("_at"))
-    return docs.join(turns, "doc_id").repartitionByRange(tasks(docs.sparkSession), "_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*docs.columns)
+def training_order(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataFrame:
+    """The documents that the mix takes, once per pass, range-sorted by training position.
+
+    ``row`` is the key by which both tables know a row; ids will do where none is null or repeated.
+    """
+    turns = mixed.where("taken > 0").select(row, F.explode("positions").alias("_at"))
+    return docs.join(turns, row).repartitionByRange(tasks(docs.sparkSession), "_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*docs.columns)
+
+
+def ordered(docs: DataFrame) -> DataFrame:
+    """Mixed documents in training order, row by row: ids may be null or repeat."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    return training_order(rows, curriculum_mix(rows, row="_row"), "_row").drop("_row")

@@ -78,3 +78,15 @@ def test_linked_sets_are_those_of_all_pairs():
         want = new
     got = neardup.linked(sets)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) > 12
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    say = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    ids = [(None, 0), (3, 0), (3, 0), (3, 1), (9, 0), (None, 2), (None, 3), (2, 1), (3, 4), (5, 4)]
+    df = spark.createDataFrame([(i, say(k), "s") for i, k in ids], "doc_id long, text string, source string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, df, "")
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, [(3, say(0)), (2, say(1)), (None, say(2)), (None, say(3)), (3, say(4))]))
+    mixed = corpus_pipeline.mix_sources(spark, kept, "")
+    assert sorted(r["text"] for r in mixed.collect()) == sorted(say(k) for k in range(5)) and mixed.columns == df.columns
+    empty = df.limit(0)
+    assert corpus_pipeline.simhash_near_dedup(spark, empty, "").count() == 0 and corpus_pipeline.mix_sources(spark, empty, "").count() == 0
