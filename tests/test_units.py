@@ -127,3 +127,13 @@ def test_empty_tables(spark):
     assert relational.numbered(empty, "k").count() == 0
     assert relational.attribute_stats(empty, ["c"]).count() == 0
     assert transforms.word_vector(empty, "k", "c", 5).count() == 0
+
+
+def test_neighbours_of_more_queries_than_a_block(spark, sf, monkeypatch):
+    from brindle.operators import neighbours
+
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
+    ask = lambda: sorted(map(tuple, neighbours.nearest(p, p, ["p_size", "p_retailprice"], "p_partkey", 3).collect()))
+    want = ask()
+    monkeypatch.setattr(neighbours, "MOST_QUERIES", 70)
+    assert ask() == want and len(want) == 3 * p.count()
