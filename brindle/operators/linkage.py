@@ -1,8 +1,8 @@
-"""Record linkage: tokens, blocking by an inverted index, string measures, pair ranking and precision at recall.
+"""Record linkage: tokens, similarity joins, string measures, pair ranking and precision at recall.
 
-Blocking is a self join on tokens with document frequencies taken first: tokens in more than ``most`` records are no
-blocking keys (their pairs are found by rarer tokens or not at all, as in the weighted index of the method), so no
-token's group is unbounded.  Scores are sums over shared tokens, a partial aggregation.
+Similarity joins work on classes of records with equal tokens, so that a name that many records share is compared once.
+Classes meet on the rarest tokens of each (a prefix that two classes above the threshold must share), which is exact:
+common tokens stay in the measure and are only left out of the index where the threshold allows it.
 """
 
 import pandas as pd
@@ -85,12 +85,61 @@ def token_weights(df: DataFrame, key: str, text: str, most: int | None = None) -
     return out.where(F.col("df") <= most) if most else out
 
 
-def cosine_pairs(df: DataFrame, key: str, text: str, least: float, most: int) -> DataFrame:
-    """id1 < id2, similarity: tf-idf cosine over the shared index tokens, of at least ``least``."""
-    w = token_weights(df, key, text, most)
-    a = w.select(F.col(key).alias("id1"), "token", F.col("weight").alias("w1"))
-    b = w.select(F.col(key).alias("id2"), "token", F.col("weight").alias("w2"))
-    return a.join(b, "token").where("id1 < id2").groupBy("id1", "id2").agg(F.sum(F.col("w1") * F.col("w2")).alias("similarity")).where(F.col("similarity") >= least)
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """set, t, token: the rarest tokens of each class, one of which any two classes at ``least`` or more have in common."""
+    df = sets.select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = sets.select("set", F.explode("set").alias("token")).join(df, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    size = F.size("r")
+    return ranked.select("set", F.explode(F.slice("r", F.lit(1), (size - F.ceil(least * size - F.lit(1e-9)) + 1).cast("int"))["token"]).alias("token"))
+
+
+def jaccard_classes(sets: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity for pairs of token sets (``set``: sorted distinct tokens, none empty) at ``least`` or more, each with itself too."""
+    p = _prefixes(sets, least)
+    a, b = p.select(F.col("set").alias("a"), "token"), p.select(F.col("set").alias("b"), "token")
+    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
+    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (small >= least * large - 1e-9)).select("a", "b").distinct()
+    shared = F.size(F.array_intersect("a", "b"))
+    found = met.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).where(F.col("similarity") >= least)
+    return found.unionByName(sets.select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def jaccard_pairs(df: DataFrame, key: str, block: str, words: Column, least: float) -> DataFrame:
+    """id1 < id2, similarity of records of one block whose distinct tokens are alike to ``least`` or more.
+
+    Records without a token or a block have no pair.  Token sets are compared once, whatever the number of records and
+    blocks that have them; joining the members back costs no more than the pairs that are returned.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(block).alias("_b"), F.array_sort(F.array_distinct(words)).alias("set")).where("_b IS NOT NULL AND size(set) > 0")
+    near = jaccard_classes(rows.select("set").distinct(), least)
+    both = near.union(near.where("a <> b").select("b", "a", "similarity"))
+    left = rows.select(F.col("_k").alias("id1"), "_b", F.col("set").alias("a")).join(both, "a")
+    return left.join(rows.select(F.col("_k").alias("id2"), "_b", F.col("set").alias("b")), ["_b", "b"]).where("id1 < id2").select("id1", "id2", "similarity")
+
+
+def cosine_classes(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """key, class_id, links: the class of records with equal tf-idf vectors (its smallest key), and how many other records
+    are at a cosine of ``least`` or more, copies included.
+
+    Records without weight (no token, or only tokens that every record has) are in no class and left out.  Two unit
+    vectors at ``least`` share a token outside the part of either whose squares sum to less than ``least`` squared, so
+    each class is indexed by its heaviest tokens alone; the cosine is then taken over all tokens.
+    """
+    w = token_weights(df, key, text)
+    vectors = w.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("token", F.round("weight", 12).alias("w")))).alias("v"))
+    classes = vectors.groupBy("v").agg(F.min("_k").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    heavy = F.expr("array_sort(transform(v, x -> struct(x.w AS w, x.token AS token)), (p, q) -> CASE WHEN p.w <> q.w THEN IF(p.w > q.w, -1, 1) WHEN p.token < q.token THEN -1 WHEN p.token > q.token THEN 1 ELSE 0 END)")
+    rest = F.expr(f"filter(transform(h, (x, i) -> struct(x.token AS token, aggregate(slice(h, i + 1, size(h)), 0D, (s, y) -> s + y.w * y.w) AS rest)), x -> x.rest >= {least * least - 1e-9!r}D)")
+    indexed = classes.withColumn("h", heavy).withColumn("p", rest)
+    a = indexed.select(F.col("class_id").alias("a"), F.explode("p.token").alias("token"))
+    met = a.join(a.withColumnRenamed("a", "b"), "token").where("a < b").select("a", "b").distinct()
+    flat = classes.select("class_id", F.explode("v").alias("x")).select("class_id", "x.token", "x.w")
+    one = met.join(flat.select(F.col("class_id").alias("a"), "token", F.col("w").alias("w1")), "a")
+    pairs = one.join(flat.select(F.col("class_id").alias("b"), "token", F.col("w").alias("w2")), ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("w1") * F.col("w2")).alias("c")).where(F.col("c") >= least)
+    links = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("_o")).union(pairs.select("b", "a"))
+    others = links.join(classes.select(F.col("class_id").alias("_o"), F.col("n").alias("_m")), "_o").groupBy("class_id").agg(F.sum("_m").alias("_m"))
+    summed = classes.join(others, "class_id", "left").select("v", "class_id", (F.col("n") - 1 + F.coalesce("_m", F.lit(0))).alias("links"))
+    return vectors.join(summed, "v").select(F.col("_k").alias(key), "class_id", "links")
 
 
 def sorted_neighbourhood(df: DataFrame, key: str, order: str, window: int) -> DataFrame:

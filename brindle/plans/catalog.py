@@ -440,9 +440,8 @@ _TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda t
 SELECT a.p_partkey AS id1, b.p_partkey AS id2, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.5""")
 def jaccard_within_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", linkage.tokens("p_name").alias("t"))
-    pairs = p.select(F.col("p_partkey").alias("id1"), "p_brand", F.col("t").alias("t1")).join(p.select(F.col("p_partkey").alias("id2"), "p_brand", F.col("t").alias("t2")), "p_brand").where("id1 < id2")
-    return pairs.select("id1", "id2", F.round(linkage.jaccard(F.col("t1"), F.col("t2")), 6).alias("similarity")).where("similarity >= 0.5")
+    found = linkage.jaccard_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_brand", linkage.tokens("p_name"), 0.5)
+    return found.select("id1", "id2", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""SELECT a.s_suppkey AS id1, b.s_suppkey AS id2, round(1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name)), 6) AS similarity
