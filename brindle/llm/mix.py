@@ -15,10 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import n_words, ready, staged, tasks
+from ._common import free, n_words, parts_for, ready, staged
 
 Schedule = tuple[list[float], list[float]]
 
@@ -102,13 +103,13 @@ def curriculum_mix(docs: DataFrame, schedule_of: Callable[[int], Schedule] = def
     first.  A null source is a source of its own, last in order; null ids are allowed; equal rows are mixed as separate
     documents; an empty table gives an empty table.  Other columns are ignored, but ``row`` is kept: a key of whole rows (long).
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     key = [row] if row else []
     base = docs.select("doc_id", "source", n_words().alias("size"), *key).checkpoint()
     sources = source_targets(base, weight_of, period, cap)
     joined = base.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     order = ["rank", "_h", "doc_id", "size", *key]
-    laid = joined.withColumn("_h", F.xxhash64(F.col("doc_id"))).repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
+    laid = joined.withColumn("_h", F.xxhash64(F.col("doc_id"))).repartitionByRange(parts_for(base, 16), *order).sortWithinPartitions(*order)
     laid = laid.withColumn("_pid", F.spark_partition_id()).checkpoint()
     sums = laid.groupBy("_pid", "rank").agg(F.sum("size").alias("n")).groupBy("_pid").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max_by("n", "rank").alias("n"))
     before, rank, run = {}, None, 0
@@ -139,21 +140,23 @@ def curriculum_mix(docs: DataFrame, schedule_of: Callable[[int], Schedule] = def
             middle = start + size / 2
             more = (middle <= rest) & (size > 0) & (passes < int(cap))
             n = np.where(size > 0, passes + more, 0)
-            at = [[] for _ in n]
+            ends = np.cumsum(n)
+            times = np.empty(int(n.sum()))
             for kind, schedule in schedules.items():
-                for turn in range(int(n.max(initial=0))):
-                    for i, u in zip(k := np.flatnonzero((n > turn) & (ranks % period == kind)), invert(schedule, (turn * whole[k] + middle[k]) / np.maximum(target[k], 1e-9))):
-                        at[i].append(float(u))
+                k = np.flatnonzero((n > 0) & (ranks % period == kind))
+                turn = np.arange(n[k].sum()) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+                k, slot = np.repeat(k, n[k]), np.repeat((ends - n)[k], n[k]) + turn
+                times[slot] = invert(schedule, (turn * whole[k] + middle[k]) / np.maximum(target[k], 1e-9))
             out = f[["doc_id", "source", "size", "source_size", "target", *key]].copy()
             out["taken"] = size * n
-            out["positions"] = at
-            out["position"] = pd.Series([x[0] if x else None for x in at], index=f.index, dtype="float64")
+            out["positions"] = pd.Series(pd.arrays.ArrowExtensionArray(pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype("int32"), times)), index=f.index)
+            out["position"] = np.where(n > 0, times[np.minimum(ends - n, max(len(times) - 1, 0))] if len(times) else 0.0, np.nan)
             yield out
 
     kinds = dict(docs.select("doc_id", "source").dtypes)
     placed = laid.mapInPandas(place, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long, source_size long, target double{f', {row} long' if row else ''}, taken long, positions array<double>, position double")
     placed = placed.withColumn("position", F.when(F.size("positions") > 0, F.col("position")))
-    return placed.repartitionByRange(tasks(spark), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return placed.repartitionByRange(parts_for(base, 16), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def training_order(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataFrame:
@@ -161,11 +164,13 @@ def training_order(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> Da
 
     ``row`` is the key by which both tables know a row; ids will do where none is null or repeated.
     """
-    turns = mixed.where("taken > 0").select(row, F.explode("positions").alias("_at"))
-    return docs.join(turns, row).repartitionByRange(tasks(docs.sparkSession), "_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*docs.columns)
+    at = free(docs, "_at")
+    turns = mixed.where("taken > 0").select(row, F.explode("positions").alias(at))
+    return docs.join(turns, row).repartitionByRange(parts_for(docs, 64), at, "doc_id").sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 
 def ordered(docs: DataFrame) -> DataFrame:
     """Mixed documents in training order, row by row: ids may be null or repeat."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
-    return training_order(rows, curriculum_mix(rows, row="_row"), "_row").drop("_row")
+    row = free(docs, "_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+    return training_order(rows, curriculum_mix(rows, row=row), row).drop(row)

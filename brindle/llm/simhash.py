@@ -1,9 +1,11 @@
 """SimHash near-dedup over shard trees.
 
-Fingerprints of 64 bits link at a Hamming distance of ``RADIUS`` or less.  Such fingerprints agree in one of four
-16-bit blocks at least, so every distinct fingerprint goes to four shards, one for each block.  A shard holds a BK-tree:
-a child hangs from its parent by the integer distance between the two, and a search follows only the edges whose
-distance differs from the query's by the radius or less.  Trees are built and searched level by level for all shards of
+Fingerprints of 64 bits link at a Hamming distance of ``RADIUS`` or less.  Cut into m blocks, two such fingerprints
+agree in m - RADIUS blocks at least, so every distinct fingerprint goes to one shard for each choice of that many blocks:
+four shards of 16 bits with m = 4, ten of about 26 with m = 5, twenty of 32 with m = 6; m follows the number of
+fingerprints, so that shards do not grow with the corpus.  A shard holds a BK-tree: a child hangs from its parent by the
+integer distance between the two, and a search follows only the edges whose distance differs from the query's by the
+radius or less.  Trees are built and searched level by level for all shards of
 a task at once.  A subtree that lies in the query's own group already is skipped, so a dense group of near copies costs
 little more than its size.  A shard above ``TILE`` fingerprints is dealt out as pairs of tiles.  Tasks return one edge
 for each fingerprint and local group, never the pairs; groups are then contracted across shards until no edge is left.
@@ -13,17 +15,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches_of, ready, tasks
+from ._common import batches_of, free, parts_for, ready, staged
 from .bpe import texts_of
 
-RADIUS, BLOCKS, TILE = 3, 4, 16384
+#: Radius, fingerprints of a tile, fingerprints that a shard holds on average before more blocks are cut.
+RADIUS, TILE, SHARD = 3, 16384, 1024
 #: Rows of whole shards that a task searches at once, and pairs of query and node.
 AT_ONCE, PAIRS = 100_000, 300_000
 
@@ -59,17 +64,18 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) of every whole text; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, fp (long) of every whole text; null and empty texts have fingerprint 0.  ``row``: a long column to keep."""
     spark = ready(docs.sparkSession)
     batches_of(spark, 512)
     kind = dict(docs.dtypes)["doc_id"]
+    key = [row] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(texts_of(b.column(1))).view("int64"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fingerprints_of(texts_of(b.column(1))).view("int64"))], ["doc_id", *key, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *key).mapInArrow(run, f"doc_id {kind},{f' {row} long,' if row else ''} fp long")
 
 
 class Forest:
@@ -156,19 +162,33 @@ def merged(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return to[label]
 
 
-def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: edges that join the same groups as all links between the fingerprints of ``distinct`` (fp)."""
-    spark = ready(distinct.sparkSession)
-    bits = 64 // BLOCKS
-    if radius >= BLOCKS:
+def shards_of(blocks: int, radius: int) -> list[Column]:
+    """A number for each choice of ``blocks`` - ``radius`` blocks: equal where two fingerprints agree in all of them."""
+    if not radius < blocks:
         raise ValueError("the radius must be below the number of blocks")
-    keys = F.array(*[F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(i << bits) for i in range(BLOCKS)])
-    keyed = distinct.select("fp", F.explode(keys).alias("shard"))
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    out = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            width = cuts[i + 1] - cuts[i]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << width) - 1)))
+        out.append(key)
+    return out
+
+
+def edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """a, b: edges that join the same groups as all links between the fingerprints of ``distinct`` (fp)."""
+    if blocks is None:
+        n, blocks = distinct.count(), radius + 1
+        while n > SHARD << (64 * (blocks - radius) // blocks) and blocks < 2 * radius:
+            blocks += 1
+    keyed = distinct.select("fp", F.explode(F.array(*shards_of(blocks, radius))).alias("shard"))
     large = keyed.groupBy("shard").count().where(F.col("count") > TILE)
     dealt = keyed.join(large, "shard", "left").withColumn("_n", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)))
     dealt = dealt.withColumn("_t", F.pmod(F.xxhash64("fp"), F.col("_n"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     cells = dealt.select("fp", "shard", F.least("_t", "_j").alias("i"), F.greatest("_t", "_j").alias("j"))
-    laid = cells.repartition(tasks(spark), "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp")
+    laid = cells.repartition(parts_for(keyed, 64), "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         s = f[["shard", "i", "j"]].to_numpy("int64")
@@ -199,13 +219,16 @@ def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def contracted(links: DataFrame) -> DataFrame:
     """node, root for every end of ``links`` (a, b): one root for each connected group.
 
-    Each round hangs every node from its smallest neighbour and relabels the edges; fingerprints are as good as random,
-    so the rounds needed grow with the logarithm of a group's size.
+    Each round hangs every node from the neighbour of the smallest hash, by a new hash in every round, and relabels the
+    edges.  Numbers in order along a chain do not matter then, and rounds grow with the logarithm of a group's size.
     """
     links = links.where("a <> b").distinct().checkpoint()
     roots: DataFrame | None = None
+    turn = 0
     while True:
-        ends = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        turn += 1
+        ranked = lambda c, k=turn: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("n"))
+        ends = links.union(links.select("b", "a")).groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", ranked("a"))["n"].alias("to"))
         ends = ends.checkpoint()
         if roots is None:
             roots = ends.withColumnRenamed("to", "root")
@@ -218,30 +241,38 @@ def contracted(links: DataFrame) -> DataFrame:
             return roots
 
 
-def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _grouped(base: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
+    """fp, root, least (smallest id) of every distinct fingerprint of ``base`` (doc_id, fp)."""
+    distinct = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = contracted(edges(distinct, radius, blocks))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def components(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable over links) for every row of ``docs``.
 
     Empty and null texts share fingerprint 0 and link like any other; equal fingerprints always link.  Null ids get the
     smallest id that is not null in their group, or null.  Repeated rows stay.  An empty table gives an empty table.
+    Other columns are ignored.
     """
     base = fingerprints(docs).checkpoint()
-    distinct = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = contracted(edges(distinct, radius))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _grouped(base, radius, blocks)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return base.join(by_fp, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id (of equal ids the first text; null ids: one row)."""
-    found = components(docs, radius)
-    losers = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(losers, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    twice = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(twice)
+    """``docs`` with one row of each group: that of the smallest id, null ids last, of equal ids the smallest text hash.
+
+    Rows are told apart by a key of their own, so a row never goes because another row of its id does.
+    """
+    row = free(docs, "_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    base = fingerprints(rows.withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.col(row).alias("at")))).checkpoint()
+    first = _grouped(base, radius).groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.at").alias(row))
+    return rows.join(first, row, "left_semi").drop(row)
 
 
-def hexadecimal(fp: str = "fp"):
+def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

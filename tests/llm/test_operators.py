@@ -134,14 +134,25 @@ def test_every_run_keeps_its_own_probability(spark, sf, docs):
 
 def test_simhash_groups(docs, odd, empty, rows, monkeypatch):
     want = brute.groups(rows)
-    for tile in (simhash.TILE, 8):
+    for tile, blocks in ((simhash.TILE, None), (8, 4), (8, 5), (simhash.TILE, 6)):
         monkeypatch.setattr(simhash, "TILE", tile)
-        got = {r[0]: (r[1], r[2]) for r in simhash.components(docs).select("doc_id", simhash.hexadecimal(), "component_id").collect()}
+        got = {r[0]: (r[1], r[2]) for r in simhash.components(docs, blocks=blocks).select("doc_id", simhash.hexadecimal(), "component_id").collect()}
         assert got == want
-    assert simhash.deduplicated(docs).count() == len({c for _, c in want.values()})
-    assert simhash.deduplicated(docs).columns == docs.columns
-    assert {r["component_id"] for r in simhash.components(odd).collect()} == {3} and simhash.deduplicated(odd).count() == 1
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == sorted({c for _, c in want.values()})
+    clash = docs.withColumns({"_row": F.lit(1), "_id": F.lit(2), "__row": F.lit(3)})
+    assert simhash.deduplicated(clash).columns == clash.columns
+    assert {r["component_id"] for r in simhash.components(odd).collect()} == {3}
+    assert sorted((r["doc_id"], r["text"][:5]) for r in simhash.deduplicated(odd).collect()) == [(3, "other"), (3, "some ")]
     assert simhash.components(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
+    with pytest.raises(ValueError):
+        simhash.components(docs, radius=4, blocks=4)
+
+
+def test_groups_along_a_chain(spark):
+    """Numbers that rise along a chain take few rounds, and each group has one root."""
+    chain = spark.range(400).selectExpr("id AS a", "id + 1 AS b").where("a % 100 <> 99")
+    got = simhash.contracted(chain).collect()
+    assert len(got) == 400 and all(len({r["root"] for r in got if r["node"] // 100 == k}) == 1 for k in range(4)) and len({r["root"] for r in got}) == 4
 
 
 def test_trees_find_the_groups_of_all_pairs():
@@ -241,6 +252,11 @@ def test_mix(docs, odd, empty, rows):
     assert again == {i: (r["taken"], r["position"]) for i, r in got.items()}
     assert mix.curriculum_mix(odd).count() == 5 and mix.curriculum_mix(empty).count() == 0
     assert mix.training_order(docs, mix.curriculum_mix(docs)).columns == docs.columns
+    clash = odd.withColumns({"_at": F.lit(1), "_row": F.lit(2)})
+    assert mix.ordered(clash).columns == clash.columns and mix.ordered(clash).count() >= 4
+    words = docs.select("doc_id", "source", F.col("text"))
+    for r in mix.curriculum_mix(words).collect():
+        assert len(r["positions"]) == (r["taken"] // r["size"] if r["size"] else 0) and r["positions"] == sorted(r["positions"])
 
 
 def test_schedules_invert():
