@@ -1,17 +1,19 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are what its characters and words look like, not which they are: runs of four character classes, words
-that repeat the word before, words met before, and its length.  Term weights (square roots of shares, times inverse
-document frequency) of a bounded sample of labelled texts are factored by singular value decomposition; the sample's
-vectors and labels are broadcast (their size is bounded by ``SAMPLE`` x ``RANK``), and every document's exact cosines
-with all of them are computed block by block.  The nearest neighbours vote with their similarity as weight.
+A text's terms are its words (hashed, one plus the logarithm of their counts), runs of four character classes, how much
+of it repeats, and its length.  Term weights times inverse document frequency of a bounded sample of labelled texts are
+factored by a randomised singular value decomposition; the sample's vectors and labels are broadcast (their size is
+bounded by ``SAMPLE`` x ``RANK``), and every document's exact cosines with all of them are computed block by block.  The
+nearest neighbours vote, each with its cosine as weight.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 from ._common import batches_of, held_out, ready
 from .bpe import texts_of
 
-#: Labelled rows that are used at most, latent dimensions, neighbours, hashed runs of classes.
-SAMPLE, RANK, NEIGHBOURS, RUNS = 4096, 48, 15, 2048
-EXTRA = 48
+#: Labelled rows that are used at most, latent dimensions, neighbours.
+SAMPLE, RANK, NEIGHBOURS = 4096, 64, 15
+#: Terms: hashed runs of classes, repeats and length, hashed words.
+RUNS, EXTRA, WORDS = 2048, 48, 2048
+TERMS = RUNS + EXTRA + WORDS
 #: Classes of bytes: letters (and what is beyond ASCII), capitals, digits, white space, line ends, marks.
 CLASS = np.full(256, 0, dtype=np.uint16)
 CLASS[65:91], CLASS[48:58], CLASS[[9, 11, 12, 13, 32]], CLASS[10] = 1, 2, 3, 4
@@ -37,8 +41,8 @@ _SLOT = (np.arange(CLASSES**4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def terms(text: bytes) -> np.ndarray:
-    """Weights of a text's terms before document frequencies: RUNS hashed runs, then EXTRA others."""
-    out = np.zeros(RUNS + EXTRA, dtype=np.float32)
+    """Weights of a text's terms before document frequencies: RUNS hashed runs, EXTRA others, WORDS hashed words."""
+    out = np.zeros(TERMS, dtype=np.float32)
     runs = np.zeros(CLASSES**4, dtype=np.int64)
     for a in range(0, len(text), 1 << 20):
         c = CLASS[np.frombuffer(text, np.uint8, min(len(text) - a, (1 << 20) + 3), a)]
@@ -54,6 +58,10 @@ def terms(text: bytes) -> np.ndarray:
         out[RUNS + min(15, int(16 * again))] = 0.5 * np.sqrt(again) if again else 0.0
         out[RUNS + 16] = np.sqrt(again)
         out[RUNS + 17] = np.sqrt(1 - fresh)
+        count = Counter(text.lower().split())
+        slot = np.fromiter(map(crc32, count), "int64", len(count)) % WORDS
+        own = np.bincount(slot, weights=1 + np.log(np.fromiter(count.values(), "float64", len(count))), minlength=WORDS)
+        out[RUNS + EXTRA :] = own / np.linalg.norm(own)
     out[RUNS + 24 + min(23, int(2 * np.log2(n + 1)))] = 0.15
     return out
 
@@ -70,25 +78,30 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Weighted share of label 1 among the nearest labelled vectors."""
+        """Share of label 1 among the nearest labelled vectors, each weighted by its cosine (none below 0)."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         cosine = self.latent(rows) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1).astype("float64"), 0) ** 8 + 1e-9
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1).astype("float64"), 0) + 1e-9
         return np.clip((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), 0.0, 1.0)
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
-    """Factor the labelled rows; signs and ties do not matter to cosines."""
-    n = len(rows)
+def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds: int = 4) -> Model:
+    """Factor the labelled rows by a subspace that power iterations sharpen; signs and ties do not matter to cosines."""
+    n, d = rows.shape
     idf = (np.log((n + 1) / ((rows > 0).sum(axis=0) + 1)) + 1).astype(np.float32)
-    gram = ((rows * idf).T @ (rows * idf)).astype("float64") if n else np.eye(rows.shape[1])
-    values, vectors = np.linalg.eigh(gram)
-    basis = vectors[:, ::-1][:, :rank].astype(np.float32)
+    rank = min(rank, d)
+    if not n:
+        return Model(idf, np.zeros((d, rank), np.float32), np.zeros((0, rank), np.float32), labels.astype("float64"))
+    a = rows * idf
+    z = a @ np.random.default_rng(0).normal(size=(d, min(rank + 16, d))).astype(np.float32)
+    for _ in range(rounds):
+        z = a @ (a.T @ np.linalg.qr(z)[0])
+    basis = np.linalg.svd(np.linalg.qr(z)[0].T @ a, full_matrices=False)[2][:rank].T.astype(np.float32)
     model = Model(idf, basis, np.zeros((0, rank), np.float32), labels.astype("float64"))
-    model.vectors = model.latent(rows) if n else model.vectors
+    model.vectors = model.latent(rows)
     return model
 
 
@@ -98,9 +111,7 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[n
     batches_of(spark, 512)
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     known = known.checkpoint()
-    n = known.count()
-    share = F.lit(min(1.0, bound / max(n, 1)))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).limit(bound)
+    chosen = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(bound)  # ids are distinct: reruns agree
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +119,9 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[n
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t).astype("float16").tobytes() for t in texts_of(b.column(2))], pa.binary())], ["doc_id", "quality", "terms"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = texts.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, terms binary").limit(bound).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    rows = np.array([np.frombuffer(r["terms"], "float16") for r in got], dtype=np.float32).reshape(len(got), RUNS + EXTRA)
+    # Ids may repeat in the documents, without a bound: the bound holds for rows too, in an order that reruns share.
+    got = texts.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, terms binary").orderBy("doc_id", "terms").limit(bound).collect()
+    rows = np.array([np.frombuffer(r["terms"], "float16") for r in got], dtype=np.float32).reshape(len(got), TERMS)
     return rows, np.array([r["quality"] for r in got], dtype="float64")
 
 
@@ -127,7 +138,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([terms(t) for t in texts_of(b.column(1))], dtype=np.float32).reshape(b.num_rows, RUNS + EXTRA)
+            rows = np.array([terms(t) for t in texts_of(b.column(1))], dtype=np.float32).reshape(b.num_rows, TERMS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(rows))], ["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -142,7 +153,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([terms(t) for t in texts_of(b.column(at))], dtype=np.float32).reshape(b.num_rows, RUNS + EXTRA)
+            rows = np.array([terms(t) for t in texts_of(b.column(at))], dtype=np.float32).reshape(b.num_rows, TERMS)
             yield b.filter(pa.array(model.value.score(rows) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -72,14 +72,35 @@ def test_quality_is_learned(spark, sf):
 
 def test_quality_cosines_are_exact():
     rng = np.random.default_rng(0)
-    rows = np.abs(rng.normal(size=(60, quality.RUNS + quality.EXTRA))).astype("float32")
+    rows = np.abs(rng.normal(size=(60, quality.TERMS))).astype("float32")
     model = quality.fit(rows, rng.integers(0, 2, 60).astype(float), rank=8)
     z = model.latent(rows)
     near = np.argsort(-(z @ z.T), axis=1)[:, : quality.NEIGHBOURS]
-    w = np.maximum(np.take_along_axis((z @ z.T).astype(float), near, 1), 0) ** 8 + 1e-9
+    w = np.maximum(np.take_along_axis((z @ z.T).astype(float), near, 1), 0) + 1e-9
     assert np.allclose(model.score(rows), (w * model.labels[near]).sum(1) / w.sum(1), atol=1e-5)
 
 
+def test_quality_query_equals_brute_force(spark, sf):
+    """The whole result of op1 from terms, labels and cosines taken one by one in plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    known = sorted((r["doc_id"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in texts)
+    model = quality.fit(np.array([quality.terms(texts[i]).astype("float16") for i, _ in known], "float32"), np.array([y for _, y in known], float))
+    got = {r["doc_id"]: r for r in queries.op1_knn_quality(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        z = model.latent(quality.terms(t)[None, :])[0]
+        near = sorted(((float(z @ v), y) for v, y in zip(model.vectors, model.labels)), reverse=True)[: quality.NEIGHBOURS]
+        want = sum(max(c, 0) * y for c, y in near) / max(sum(max(c, 0) for c, _ in near), 1e-9)
+        assert abs(got[i]["score"] - want) < 0.02 and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.7)
+
+
+def test_words_are_terms():
+    a, b, c = (quality.terms(t.encode())[quality.RUNS + quality.EXTRA :] for t in ("Stone house water", "water stone house house", "quite other words"))
+    assert a @ b > 0.9 > 0.1 > a @ c
+
+
 def test_base_counts_and_bands(docs, odd, empty, rows):
     for _, t in rows:
         assert perplexity.base_counts((t or "").encode()) == brute.base_counts(t)
