@@ -2,8 +2,9 @@
 
 The network is written and trained in numpy by backpropagation through time: two layers of gated units read a segment of
 bytes from either end, a softmax labels every position, and a document's probabilities are the mean over all of its
-positions.  Texts are read whole, as segments that many documents share a batch of.  Training takes a bounded sample of
-documents, balanced over languages; the network is a few thousand numbers and is broadcast.
+positions.  Texts are read whole, as segments that many documents share a batch of.  Training texts are cut into pieces
+from end to end, and a bounded sample of all pieces is drawn, balanced over languages, so that every part of every text
+can be learned from; the network is a few thousand numbers and is broadcast.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from ._common import batches_of, held_out, ready
 from .bpe import texts_of
 
-#: Documents to learn from and languages to learn at most, characters of each, units a direction, steps, rows a step.
-SAMPLE, LANGUAGES, PIECE, UNITS, STEPS, ROWS = 2400, 64, 320, 8, 320, 256
+#: Pieces to learn from (about, and one for each language at least), characters of each, units a direction, steps, rows a step.
+SAMPLE, PIECE, UNITS, STEPS, ROWS = 4800, 320, 8, 320, 256
 #: Bytes of a segment when predicting and training, segments at once.
 SEGMENT, LESSON, AT_ONCE = 128, 64, 2048
 
@@ -45,8 +46,12 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [*self.tables, *self.recurrent, self.out, self.bias]
 
-    def states(self, data: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """Hidden states (T, 2H, B) for bytes (T, B); with ``keep`` what the way back needs."""
+    def states(self, data: np.ndarray, keep: bool = False, mask: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states (T, 2H, B) for bytes (T, B); with ``keep`` what the way back needs.
+
+        Where ``mask`` is 0 (after the end of a short segment) the state is 0, so that the way from the right begins afresh
+        at the last byte, whatever other segments of the batch are as long as.
+        """
         t_n, b_n = data.shape
         h_n = self.recurrent[0].shape[1]
         out, kept = np.empty((t_n, 2 * h_n, b_n), np.float32), [[], []]
@@ -68,14 +73,16 @@ class Network:
                 np.subtract(n, h, out=new)
                 new *= z
                 new += h
+                if mask is not None:
+                    new *= mask[t]
                 if keep:
                     kept[side].append((t, h, z, r, m, n))
                 h = new
         return out, kept
 
-    def probabilities(self, data: np.ndarray) -> np.ndarray:
+    def probabilities(self, data: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
         """Softmax at every position: (T, languages, B)."""
-        logits = np.matmul(self.out, self.states(data)[0]) + self.bias
+        logits = np.matmul(self.out, self.states(data, mask=mask)[0]) + self.bias
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
@@ -83,7 +90,7 @@ class Network:
 
     def gradients(self, data: np.ndarray, target: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the positions that count, and its gradients in the order of ``parameters``."""
-        states, kept = self.states(data, keep=True)
+        states, kept = self.states(data, keep=True, mask=mask)
         logits = np.matmul(self.out, states) + self.bias
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
@@ -104,7 +111,7 @@ class Network:
             carry = np.zeros((h_n, b_n), np.float32)
             d_u, d_x = np.zeros_like(u), np.empty((t_n, 3 * h_n, b_n), np.float32)
             for t, h, z, r, m, n in reversed(kept[side]):
-                dh = d_states[t, side * h_n : (side + 1) * h_n] + carry
+                dh = (d_states[t, side * h_n : (side + 1) * h_n] + carry) * mask[t]
                 dn = dh * z * (1 - n * n)
                 d_x[t, :h_n] = dh * (n - h) * ((z > 0) & (z < 1)) * np.float32(0.25)
                 d_x[t, h_n : 2 * h_n] = dn * m * ((r > 0) & (r < 1)) * np.float32(0.25)
@@ -135,8 +142,9 @@ class Network:
             at = np.arange(int(n.max()))[:, None]
             mask = at < n[None, :]
             data = np.where(mask, whole[start[k][None, :] + np.minimum(at, n[None, :] - 1)], 0)
-            p = self.probabilities(data)
-            pooled = p.sum(axis=0) if mask.all() else np.einsum("tcb,tb->cb", p, mask.astype(np.float32))
+            whole_rows, ones = mask.all(), mask.astype(np.float32)
+            p = self.probabilities(data, None if whole_rows else ones)
+            pooled = p.sum(axis=0) if whole_rows else np.einsum("tcb,tb->cb", p, ones)
             for c in range(len(self.languages)):
                 totals[:, c] += np.bincount(owner[k], weights=pooled[c], minlength=len(texts))
         return np.where(size[:, None] > 0, totals / np.maximum(size[:, None], 1), 1.0 / max(1, len(self.languages)))
@@ -170,22 +178,23 @@ def train(rows: list[tuple[str, bytes]], languages: list[str], steps: int = STEP
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """Train on at most ``sample`` documents that are not held out and have a language and a text."""
+    """Train on about ``sample`` pieces of the texts that are not held out and have a language and a letter.
+
+    All languages are learned.  A language with fewer pieces than its share gives all of them.
+    """
     ready(docs.sparkSession)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    last = F.floor((F.length("text") - 1) / PIECE)
+    counts = known.groupBy("lang").agg(F.sum(last + 1).alias("n")).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Network.fresh([])
     each = max(1, sample // len(languages))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30))
-    wanted = None
-    for r in counts:
-        one = (F.col("lang") == r["lang"]) & (draw < min(1.0, each / r["count"]) * (1 << 30))
-        wanted = one if wanted is None else wanted | one
-    start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(13)), F.greatest(F.length("text") - PIECE, F.lit(1))).cast("int")
-    rows = known.where(wanted).select("lang", F.substring("text", start + 1, F.lit(PIECE)).alias("piece")).limit(2 * sample).collect()
-    return train(sorted((r["lang"], r["piece"].encode()) for r in rows), languages)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "_lang string, share double")
+    draw = lambda i: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    drawn = known.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).withColumn("_at", F.filter(F.sequence(F.lit(0).cast("long"), last), draw)).where(F.size("_at") > 0)
+    pieces = drawn.select("lang", F.explode(F.transform("_at", lambda i: F.substring("text", (i * PIECE + 1).cast("int"), F.lit(PIECE)))).alias("piece"))
+    return train(sorted((r["lang"], r["piece"].encode()) for r in pieces.collect()), languages)
 
 
 def identified(docs: DataFrame, net: Network | None = None) -> DataFrame:

@@ -320,6 +320,50 @@ def test_languages(spark, docs, odd, empty, rows):
     assert np.mean([r["lang_pred"] == r["lang"] for r in both]) > 0.95
 
 
+def test_all_languages_and_whole_texts_are_learned(spark, monkeypatch):
+    taught = {}
+    monkeypatch.setattr(langid, "train", lambda rows, languages: taught.update(rows=rows, languages=languages))
+    docs = [(i, "".join(chr(97 + (i + k // 320) % 26) * 1 for k in range(3000)), f"l{i % 90:02d}") for i in range(270)]
+    langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample=100_000)
+    assert taught["languages"] == sorted({x for _, _, x in docs})
+    use = [(i, t, x) for i, t, x in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert Counter(taught["rows"]) == Counter((x, t[k : k + 320].encode()) for _, t, x in use for k in range(0, 3000, 320))
+    langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample=180)
+    assert 90 < len(taught["rows"]) < 300
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    """The whole result of op7 with the states stepped one byte and one document at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.identified(docs, net).collect()}
+    step = lambda x: np.clip(0.25 * x + 0.5, 0, 1)
+    for r in docs.collect():
+        data, h_n, total = (r["text"] or "").encode(), langid.UNITS, np.zeros(len(net.languages))
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        data = data[: 10 * langid.SEGMENT] if r["doc_id"] % 50 else data
+        if len(data) < len((r["text"] or "").encode()):
+            continue
+        for a in range(0, len(data), langid.SEGMENT):
+            part = data[a : a + langid.SEGMENT]
+            both = []
+            for side in range(2):
+                h, states = np.zeros(h_n), []
+                for x in part if side == 0 else part[::-1]:
+                    g, t = net.recurrent[side] @ h, net.tables[side][:, x]
+                    z, reset = step(t[:h_n] + g[:h_n]), step(t[h_n : 2 * h_n] + g[h_n : 2 * h_n])
+                    h = h + z * (np.tanh(t[2 * h_n :] + reset * g[2 * h_n :]) - h)
+                    states.append(h)
+                both.append(states if side == 0 else states[::-1])
+            for f, b in zip(*both):
+                e = np.exp(net.out @ np.concatenate([f, b]) + net.bias[:, 0])
+                total += e / e.sum()
+        total /= len(data)
+        assert abs(got[r["doc_id"]]["score"] - total.max()) < 1e-3 and total[net.languages.index(got[r["doc_id"]]["lang_pred"])] > total.max() - 1e-3
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, odd, empty, rows, tmp_path, encoding):
     from tokenizers import Tokenizer
