@@ -1,16 +1,18 @@
 """Exact top-k by inner product with no random access.
 
-Candidates lie in blocks of bounded size.  In a block every dimension is a list sorted by component; a query reads it
-from the end that raises its score.  All lists are read to the same depth, which grows from round to round; what has
-been read gives each candidate a lower bound (unread components at the list's worst value) and an upper bound (unread
-components at the value last read).  Candidates whose upper bound is below the k-th lower bound are outsiders.  When
-few are left, or the lists are read through, the scores of those that are left are resolved exactly.  Both bounds of
-all pairs of a block are matrix products of masked components, so a round costs a few products.
+Candidates lie in blocks of bounded size; in a block every dimension is a list, of which the two ends are known.  A query
+reads list after list from start to end, those first that can change a score most (its component times the list's span).
+What has been read gives each candidate a partial sum.  What has not been read adds at most the heads of the unread
+lists, and at most the product of the two rests' lengths (the length of a vector is known, and what has been read of it),
+and at least the negative of that product.  Candidates whose upper bound is below the k-th lower bound, or below the
+k-th score of the blocks before, are outsiders and are not read on.  When few are left, or the lists are read through,
+the scores of those that are left are resolved in integers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,53 +21,70 @@ from pyspark.sql import functions as F
 
 from ._common import ready, tasks
 
-#: Vectors in a block, queries in a block, queries scored at a time.
-BLOCK, QUERIES, AT_ONCE = 2048, 2048, 256
-#: Shares of the lists read in each round.
-DEPTHS = (0.25, 0.5, 0.75)
+#: Vectors in a block, queries in a block, lists read between two looks at the bounds.
+BLOCK, QUERIES, LISTS = 2048, 8192, 8
 EXACT = float(1 << 53)
 
 
-def search(queries: np.ndarray, qid: np.ndarray, vectors: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query, as flat arrays (query, vector id, score); the query itself takes no part."""
-    n, d = vectors.shape
-    order = np.argsort(vid, kind="stable")
-    vectors, vid = vectors[order], vid[order]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    bound = max(float(np.abs(queries).max(initial=0)), 1.0) * max(float(np.abs(vectors).max(initial=0)), 1.0) * max(d, 1)
-    small = bound < EXACT
-    v = vectors.astype("float64") if small else vectors
-    if small and n and d:
-        rank = np.empty((n, d), dtype="int32")
-        np.put_along_axis(rank, np.argsort(v, axis=0, kind="stable"), np.arange(n, dtype="int32")[:, None], axis=0)
-        low, high = v.min(axis=0), v.max(axis=0)
-        ends = np.sort(v, axis=0)
-    for a in range(0, len(queries), AT_ONCE):
-        q, own = queries[a : a + AT_ONCE], qid[a : a + AT_ONCE]
-        left = own[:, None] != vid[None, :]
-        if small and n > 4 * k and d:
-            qf = q.astype("float64")
-            up, down = np.maximum(qf, 0), np.minimum(qf, 0)
-            for share in DEPTHS:
-                m = max(1, int(n * share))
-                top, bottom = rank >= n - m, rank < m
-                lower = up @ np.where(top, v, low).T + down @ np.where(bottom, v, high).T
-                kth = np.partition(np.where(left, lower, -np.inf), n - k, axis=1)[:, n - k]
-                upper = up @ np.where(top, v, ends[n - m]).T + down @ np.where(bottom, v, ends[m - 1]).T
-                left &= upper >= kth[:, None]
-                if left.sum() <= 4 * k * len(q):
-                    break
-        rows, cols = np.nonzero(left)
-        if left.sum() * 4 > left.size and small:
-            score = (q.astype("float64") @ v.T)[rows, cols].astype("int64")
-        else:
-            score = np.concatenate([np.einsum("ij,ij->i", q[rows[x : x + 65536]].astype("int64"), vectors[cols[x : x + 65536]]) for x in range(0, max(len(rows), 1), 65536)])
-        best = np.lexsort((vid[cols], -score, rows))
-        rows, cols, score = rows[best], cols[best], score[best]
-        first = np.searchsorted(rows, np.arange(len(q)))
-        keep = np.arange(len(rows)) - first[rows] < k if len(rows) else np.zeros(0, bool)
-        out.append((own[rows[keep]], vid[cols[keep]], score[keep]))
-    return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, "int64") for i in range(3))
+@dataclass
+class Reader:
+    """The k best for each query over the blocks read so far, and how many list entries were there and were read."""
+
+    queries: np.ndarray
+    ids: np.ndarray
+    k: int
+    best: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    there: int = 0
+    read: int = 0
+
+    def __post_init__(self) -> None:
+        self.best = [(np.zeros(0, "int64"), np.zeros(0, "int64")) for _ in self.ids]
+
+    def block(self, vectors: np.ndarray, vid: np.ndarray) -> None:
+        """Read the lists of one block (n vectors of d whole numbers) for every query."""
+        n, d = vectors.shape
+        bound = max(float(np.abs(self.queries).max(initial=0)), 1.0) * max(float(np.abs(vectors).max(initial=0)), 1.0) * max(d, 1)
+        lists = np.ascontiguousarray(vectors.T.astype("float64"))
+        squares = lists * lists
+        length = squares.sum(axis=0)
+        low, high = (lists.min(axis=1), lists.max(axis=1)) if n and d else (np.zeros(d), np.zeros(d))
+        for i, q in enumerate(self.queries):
+            self.there += n * d
+            left = np.flatnonzero(vid != self.ids[i])
+            if bound < EXACT:  # else sums of floats are not exact, and all are resolved
+                left = self._left(q.astype("float64"), lists, squares, length, low, high, left, self.best[i][0])
+            scores, ids = self.best[i]
+            scores, ids = np.concatenate([scores, vectors[left] @ self.queries[i]]), np.concatenate([ids, vid[left]])
+            order = np.lexsort((ids, -scores))[: self.k]
+            self.best[i] = scores[order], ids[order]
+
+    def _left(self, q: np.ndarray, lists: np.ndarray, squares: np.ndarray, length: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The candidates that can still be among the k best when reading stops."""
+        floor = float(known[-1]) if len(known) == self.k else -np.inf
+        order = np.argsort(-np.abs(q) * (high - low), kind="stable")
+        heads = np.maximum(q * low, q * high)[order]
+        unread = np.append(np.cumsum(heads[::-1])[::-1], 0.0)
+        rest = np.append(np.cumsum((q[order] ** 2)[::-1])[::-1], 0.0)
+        total, other = np.zeros(len(left)), length[left]
+        for a in range(0, len(q), LISTS):
+            if len(left) <= 4 * self.k:
+                break
+            now, b = order[a : a + LISTS], min(a + LISTS, len(q))
+            whole = len(left) == lists.shape[1]
+            self.read += len(now) * len(left)
+            total = total + q[now] @ (lists[now] if whole else lists[now][:, left])
+            other = other - (squares[now].sum(axis=0) if whole else squares[now][:, left].sum(axis=0))
+            slack = np.sqrt(rest[b] * np.maximum(other, 0.0)) * (1 + 1e-9)
+            lower = total - slack
+            if len(left) > self.k:
+                floor = max(floor, np.partition(lower, len(left) - self.k)[len(left) - self.k])
+            keep = total + np.minimum(slack, unread[b]) >= floor - 1e-6 * max(1.0, abs(floor))
+            left, total, other = left[keep], total[keep], other[keep]
+        return left
+
+    def rows(self) -> pd.DataFrame:
+        n = [len(s) for s, _ in self.best]
+        return pd.DataFrame({"query_id": np.repeat(self.ids, n), "vec_id": np.concatenate([i for _, i in self.best] or [np.zeros(0, "int64")]), "score": np.concatenate([s for s, _ in self.best] or [np.zeros(0, "int64")])})
 
 
 def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -93,25 +112,38 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     """query_id, rank, vec_id, score: the k best vectors for each row that ``is_query`` takes, ties to the smaller id.
 
     Vectors are compared with those of the same length (an empty one scores 0).  Candidates with the query's own id take
-    no part; ids that repeat count row by row.  An empty table, or no query, gives an empty result.  Each task sees one
-    block of queries and one of candidates; what it returns is k rows for each query, which are then merged.
+    no part; ids (whole numbers) that repeat count row by row.  An empty table, or no query, gives an empty result.
+
+    A cell is a block of queries and a share of the candidate blocks, which a task reads one after another, the k best so
+    far bounding the next block; so a cell returns k rows for each query.  Cells are as many as keep all tasks busy:
+    where there are more query blocks than tasks, a query's candidates are all read by one task and nothing is merged.
     """
     spark = ready(vectors.sparkSession)
     rows = quantised(vectors, scale).checkpoint()
-    asked = rows.where(is_query)
-    cand, ask = blocks(rows, BLOCK, "b"), blocks(asked, QUERIES, "qb")
-    q_blocks = ask.select("dim", "qb").distinct()
-    pairs = cand.join(q_blocks, "dim")
-    both = pairs.join(ask.withColumnsRenamed({"ids": "q_ids", "data": "q_data"}), ["dim", "qb"]).repartition(tasks(spark), "b", "qb")
+    cand, ask = blocks(rows, BLOCK, "b"), blocks(rows.where(is_query), QUERIES, "qb").checkpoint()
+    q_blocks = ask.select("dim", "qb")
+    n = max(1, q_blocks.count())
+    share = F.lit(max(1, -(-tasks(spark) // n)))
+    cells = q_blocks.withColumn("g", F.explode(F.sequence(F.lit(0), share - 1)))
+    asked = cells.join(ask, ["dim", "qb"]).withColumn("b", F.lit(-1))
+    given = cand.withColumn("g", F.pmod(F.col("b"), share)).join(q_blocks, "dim")
+    both = asked.unionByName(given).repartition(max(tasks(spark), min(n, 100_000)), "dim", "qb", "g").sortWithinPartitions("dim", "qb", "g", "b")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader: Reader | None = None
         for f in frames:
             for r in f.itertuples(index=False):
-                vid, qid = np.frombuffer(r.ids, "int64"), np.frombuffer(r.q_ids, "int64")
-                v, q = np.frombuffer(r.data, "int64").reshape(len(vid), -1 if r.dim else 0), np.frombuffer(r.q_data, "int64").reshape(len(qid), -1 if r.dim else 0)
-                a, b, c = search(q, qid, v, vid, k)
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-    found = both.select("dim", "ids", "data", "q_ids", "q_data").mapInPandas(score, "query_id long, vec_id long, score long")
+                ids = np.frombuffer(r.ids, "int64")
+                data = np.frombuffer(r.data, "int64").reshape(len(ids), r.dim)
+                if r.b >= 0:
+                    reader.block(data, ids)
+                    continue
+                if reader:
+                    yield reader.rows()
+                reader = Reader(data, ids, k)
+        if reader:
+            yield reader.rows()
+
+    found = both.select("dim", "b", "ids", "data").mapInPandas(score, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("all"))
     return best.select("query_id", F.posexplode(F.slice("all", 1, k)).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).cast("long").alias("score"))
