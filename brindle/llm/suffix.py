@@ -6,12 +6,12 @@ that depth; the groups that are then equal are exactly the repeated windows.  A
 1. Digit one is the smallest hashed run of ``RUN`` bytes in the window, the same for equal windows wherever they
    stand.  Neighbouring windows mostly share it and travel together, one number for all of them.  Numbers seen once in
    the corpus go no further.
-2. What is left travels as bytes to the bucket of its number.  Equal stretches fall together; where different stretches
-   share a number, their windows are sorted by the remaining digits, eight bytes at a time.
+2. What is left is sorted by the remaining digits, eight bytes at a time, first within its block, where stretches whose
+   windows all repeat an earlier document's are settled and go no further, and then in the bucket of its number.
 
-Texts are packed into blocks of bounded size.  Within a block equal stretches are met once, so a passage that a third
-of all documents share reaches a bucket once for each block at most; numbers that many blocks share are dealt out by
-whole windows, over all buckets.
+Texts are packed into blocks of bounded size.  As a block settles its own repeats, a passage that a third of all documents
+share reaches a bucket once for each block at most; numbers that many blocks share are dealt out by whole windows, over
+all buckets.
 """
 
 from __future__ import annotations
@@ -99,8 +99,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
         held, pack = 0, zstandard.ZstdCompressor(level=6)
 
         def out() -> pa.RecordBatch:
-            row = [uuid.uuid4().hex, np.array([x or 0 for x in ids], "int64").tobytes(), np.array([x is not None for x in ids], "uint8").tobytes(), np.array(list(map(len, texts)), "int64").tobytes(), pack.compress(b"".join(texts))]
-            return pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([x], pa.binary()) for x in row[1:])], ["block", "ids", "known", "sizes", "data"])
+            row = [uuid.uuid4().int >> 65, np.array([x or 0 for x in ids], "int64").tobytes(), np.array([x is not None for x in ids], "uint8").tobytes(), np.array(list(map(len, texts)), "int64").tobytes(), pack.compress(b"".join(texts))]
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], ["block", "ids", "known", "sizes", "data"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
@@ -115,7 +115,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield out()
 
     path = f"{spark.sparkContext.getCheckpointDir()}/blocks-{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block string, ids binary, known binary, sizes binary, data binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, ids binary, known binary, sizes binary, data binary")
     rows.write.option("parquet.block.size", 8 << 20).option("compression", "none").parquet(path)
     return spark.read.parquet(path)
 
@@ -153,7 +153,7 @@ def _first_pass(blocks: DataFrame, buckets: int) -> DataFrame:
                 keys, many = _met(doc, keys)
                 parts = [(bucket, keys[s].astype("<u4").tobytes(), np.packbits(many[s]).tobytes()) for bucket, s in _by_bucket(keys)]
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([row["block"]] * len(parts)), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], ["bucket", "block", "numbers", "many"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], ["bucket", "block", "numbers", "many"])
 
     def judge(f: pd.DataFrame) -> pd.DataFrame:
         numbers = [np.frombuffer(x, "<u4") for x in f["numbers"]]
@@ -165,47 +165,93 @@ def _first_pass(blocks: DataFrame, buckets: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         return pd.DataFrame({"block": f["block"], "bucket": f["bucket"], "codes": [pack.compress(c.tobytes()) for c in np.split(code, cuts)]})
 
-    sent = blocks.select("block", "ids", "known", "sizes", "data").mapInArrow(send, "bucket int, block string, numbers binary, many binary")
-    return sent.groupBy("bucket").applyInPandas(judge, "block string, bucket int, codes binary")
+    sent = blocks.select("block", "ids", "known", "sizes", "data").mapInArrow(send, "bucket int, block long, numbers binary, many binary")
+    return sent.groupBy("bucket").applyInPandas(judge, "block long, bucket int, codes binary")
+
+
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Where rows sorted by the keys begin a new group."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def _equal_stretches(data: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A group for each stretch: digit one and the length, then passes of eight bytes over what is not alone yet."""
+    order = np.lexsort((size, number))
+    group = np.empty(len(at), "int64")
+    group[order] = np.cumsum(_fresh(number[order], size[order])) - 1
+    live = np.flatnonzero(np.bincount(group)[group] > 1)
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    skip, last = 0, int(group.max(initial=0))
+    while len(live):
+        d = eight[at[live] + np.minimum(skip, size[live] - 8)].view(">u8")[:, 0]
+        order = np.lexsort((d, group[live]))
+        live, d = live[order], d[order]
+        split = np.cumsum(_fresh(group[live], d))
+        group[live] = last + split
+        last += int(split[-1])
+        skip += 8
+        live = live[(np.bincount(split)[split] > 1) & (size[live] > skip)]
+    return group
 
 
 def _sorted_windows(contents: list[bytes], doc: np.ndarray, number: np.ndarray) -> list[tuple[int, int, int]]:
-    """(content, first, last + 1) of windows that also start in a smaller document, among distinct contents."""
+    """(content, first, last + 1) of windows that also start in a smaller document.  ``doc``: the owner of each content.
+
+    Stretches whose number (digit one) is not alone are sorted as wholes first, then the windows of one stretch of each
+    group, that of the smallest document; the windows that are equal to the last digit are those that repeat.
+    """
     _, back, count = np.unique(number, return_inverse=True, return_counts=True)
     chosen = np.flatnonzero(count[back] > 1)
     if not len(chosen):
         return []
     data = np.frombuffer(b"".join([contents[i] for i in chosen.tolist()]) + bytes(8), np.uint8)
-    digit = data.astype(np.uint64)
-    for shift, width in ((8, 1), (16, 2), (32, 4)):
-        digit = digit[:-width] << np.uint64(shift) | digit[width:]
     size = np.array([len(contents[i]) for i in chosen.tolist()], "int64")
+    place, doc, back = np.cumsum(size) - size, doc[chosen], back[chosen]
+    group = _equal_stretches(data, place, size, back)
+    order = np.lexsort((doc, group))
+    first = np.flatnonzero(_fresh(group[order]))
+    least = np.empty(len(chosen), "int64")
+    least[order] = np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))
     windows = size - DEPTH + 1
-    owner = np.repeat(np.arange(len(chosen)), windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = (np.cumsum(size) - size)[owner] + offset
-    of = doc[chosen][owner]
-    live, group = np.arange(len(owner)), np.zeros(len(owner), "int64")
+    out = [(i, 0, n) for i, n in zip(chosen[doc > least].tolist(), windows[doc > least].tolist())]
+    heads = order[first]
+    heads = heads[np.bincount(back[heads])[back[heads]] > 1]  # a number that one group alone has is settled
+    if not len(heads):
+        return out
+    same = np.flatnonzero(doc == least)
+    same = same[np.argsort(group[same], kind="stable")]
+    owner = np.repeat(heads, windows[heads])
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows[heads]) - windows[heads], windows[heads])
+    at, of = place[owner] + offset, doc[owner]
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    live, part = np.arange(len(owner)), back[owner]
     for skip in _PASSES:
-        d = digit[at[live] + skip]
-        order = np.lexsort((d, group)) if skip else np.argsort(d, kind="stable")
-        live, group, d = live[order], group[order], d[order]
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (d[1:] != d[:-1])])
+        d = eight[at[live] + skip].view(">u8")[:, 0]
+        order = np.lexsort((d, part))
+        live, part, d = live[order], part[order], d[order]
+        fresh = _fresh(part, d)
         first = np.flatnonzero(fresh)
         mixed = np.minimum.reduceat(of[live], first) < np.maximum.reduceat(of[live], first)
-        group = np.cumsum(fresh) - 1
-        keep = mixed[group]
-        live, group = live[keep], group[keep]
+        part = np.cumsum(fresh) - 1
+        keep = mixed[part]
+        live, part = live[keep], part[keep]
         if not len(live):
-            return []
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.repeat(np.minimum.reduceat(of[live], first), np.diff(np.append(first, len(live))))
-    hit = np.sort(live[of[live] > least])
+            return out
+    first = np.flatnonzero(_fresh(part))
+    smallest = np.repeat(np.minimum.reduceat(of[live], first), np.diff(np.append(first, len(live))))
+    hit = np.sort(live[of[live] > smallest])
     if not len(hit):
-        return []
+        return out
     cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])]))
     begin, end = hit[cut], hit[np.append(cut[1:], len(hit)) - 1]
-    return list(zip(chosen[owner[begin]].tolist(), offset[begin].tolist(), (offset[end] + 1).tolist()))
+    low, high = (np.searchsorted(group[same], group[owner[begin]], side) for side in ("left", "right"))
+    for x, y, p, q in zip(low.tolist(), high.tolist(), offset[begin].tolist(), (offset[end] + 1).tolist()):
+        out.extend((i, p, q) for i in chosen[same[x:y]].tolist())
+    return out
 
 
 def _second_pass(blocks: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
@@ -234,17 +280,13 @@ def _second_pass(blocks: DataFrame, codes: DataFrame, buckets: int) -> DataFrame
                 stop = np.concatenate([at[cold] + count[cold] + DEPTH - 1, alone + DEPTH])
                 docs = np.concatenate([ids[doc[cold]], ids[doc[each]]])
                 texts = [data[a:z] for a, z in zip(start.tolist(), stop.tolist())]
-                least: dict[bytes, int] = {}
-                owners = docs.tolist()
-                for t, d in zip(texts, owners):
-                    if least.setdefault(t, d) > d:
-                        least[t] = d
-                first = np.fromiter((least[t] for t in texts), "int64", len(texts)) if texts else docs
-                later = docs > first
-                ranges = np.stack([start[later], stop[later] - DEPTH + 1], axis=1).astype("<i8")
-                rows = [(0, 1, pack.compress(ranges.tobytes()))] if len(ranges) else []
                 whole = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts[int(cold.sum()) :]]
                 key = np.concatenate([keys[cold], _keys(np.array(whole, np.uint64), buckets)])
+                hits = _sorted_windows(texts, docs, key)
+                ranges = np.array([(start[i] + a, start[i] + z) for i, a, z in hits], "<i8")
+                later = np.zeros(len(texts), bool)
+                later[[i for i, a, z in hits if a == 0 and z == stop[i] - start[i] - DEPTH + 1]] = True
+                rows = [(0, 1, pack.compress(ranges.tobytes()))] if len(ranges) else []
                 mine = np.flatnonzero(~later)
                 mine = mine[np.argsort(key[mine], kind="stable")]
                 for bucket, s in _by_bucket(key[mine]):
@@ -253,16 +295,12 @@ def _second_pass(blocks: DataFrame, codes: DataFrame, buckets: int) -> DataFrame
                     blob = b"".join([start[k].astype("<i8").tobytes(), docs[k].astype("<i8").tobytes(), (stop[k] - start[k]).astype("<i8").tobytes(), key[k].astype("<u4").tobytes(), *part])
                     rows.append((bucket, 0, len(k).to_bytes(8, "little") + pack.compress(blob)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] if not r[1] else int(row["block"][:7], 16) % buckets for r in rows], pa.int32()), pa.array([row["block"]] * len(rows)), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "block", "done", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] if not r[1] else row["block"] % buckets for r in rows], pa.int32()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "block", "done", "blob"])
 
     def judge(f: pd.DataFrame) -> pd.DataFrame:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        found: dict[str, list[tuple[int, int]]] = {}
-        contents: dict[bytes, int] = {}
-        entries: list[tuple[str, np.ndarray, np.ndarray, list[int]]] = []
-        least: list[int] = []
-        number: list[int] = []
-        out = []
+        out, texts, blocks = [], [], []
+        starts, owners, numbers = [], [], []
         for r in f.itertuples(index=False):
             if r.done:
                 out.append((r.block, r.blob))
@@ -270,35 +308,22 @@ def _second_pass(blocks: DataFrame, codes: DataFrame, buckets: int) -> DataFrame
             n = int.from_bytes(r.blob[:8], "little")
             raw = unpack.decompressobj().decompress(r.blob[8:])
             start, docs, size = (np.frombuffer(raw, "<i8", n, 8 * n * i) for i in range(3))
-            low = np.frombuffer(raw, "<u4", n, 24 * n).tolist()
-            ends = (28 * n + np.cumsum(size)).tolist()
-            slots = []
-            for a, z, d, k in zip([28 * n, *ends], ends, docs.tolist(), low):
-                c = raw[a:z]
-                slot = contents.setdefault(c, len(least))
-                if slot == len(least):
-                    least.append(d)
-                    number.append(k)
-                elif d < least[slot]:
-                    least[slot] = d
-                slots.append(slot)
-            entries.append((r.block, start, docs, slots))
-        texts, first = list(contents), np.array(least, "int64")
-        partial: dict[int, list[tuple[int, int]]] = {}
-        for slot, a, z in _sorted_windows(texts, first, np.array(number, "int64")) if texts else []:
-            partial.setdefault(slot, []).append((a, z))
-        for block, start, docs, slots in entries:
-            own = found.setdefault(block, [])
-            for s, d, slot in zip(start.tolist(), docs.tolist(), slots):
-                if d > least[slot]:
-                    own.append((s, s + len(texts[slot]) - DEPTH + 1))
-                elif slot in partial:
-                    own.extend((s + a, s + z) for a, z in partial[slot])
-        out += [(block, pack.compress(np.array(x, "<i8").tobytes())) for block, x in found.items() if x]
-        return pd.DataFrame(out, columns=["block", "ranges"])
-
-    sent = joined.select("block", "ids", "known", "sizes", "data", "codes").mapInArrow(send, "bucket int, block string, done int, blob binary")
-    return sent.groupBy("bucket").applyInPandas(judge, "block string, ranges binary")
+            cuts = (28 * n + np.concatenate([[0], np.cumsum(size)])).tolist()
+            texts += [raw[a:z] for a, z in zip(cuts, cuts[1:])]
+            blocks += [r.block] * n
+            starts.append(start)
+            owners.append(docs)
+            numbers.append(np.frombuffer(raw, "<u4", n, 24 * n))
+        if texts:
+            start = np.concatenate(starts).tolist()
+            found: dict[int, list[tuple[int, int]]] = {}
+            for i, a, z in _sorted_windows(texts, np.concatenate(owners), np.concatenate(numbers)):
+                found.setdefault(blocks[i], []).append((start[i] + a, start[i] + z))
+            out += [(block, pack.compress(np.array(x, "<i8").tobytes())) for block, x in found.items()]
+        return pd.DataFrame(out, columns=["block", "ranges"]).astype({"block": "int64"})
+
+    sent = joined.select("block", "ids", "known", "sizes", "data", "codes").mapInArrow(send, "bucket int, block long, done int, blob binary")
+    return sent.groupBy("bucket").applyInPandas(judge, "block long, ranges binary")
 
 
 def _kept(data: bytes, size: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
