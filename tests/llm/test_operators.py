@@ -117,40 +117,75 @@ def test_bands_reject_junk_and_keep_clean_texts(spark):
     assert share[0] < 0.6 and share[1] > 0.9
 
 
-def test_kneser_ney_sums_to_one_and_matches_counts(spark, docs, rows):
-    counted = perplexity.counts(docs)
+def test_counts_of_runs(docs, rows):
     want = Counter()
     for i, t in rows:
-        b, lang = b"\x02" * 4 + (t or "").encode(), ["en", "de", ""][i % 3]
-        for k in range(4, len(b)):
-            want[lang, int.from_bytes(b[k - 4 : k + 1], "big")] += 1
-    assert {(r["lang"], r["run"]): r["n"] for r in counted.collect()} == dict(want)
-    mass = perplexity.kneser_ney(counted).groupBy("lang", F.shiftright("run", 8).alias("c")).agg(F.sum(F.exp("logp")).alias("p"))
-    assert 0 < mass.agg(F.min("p")).first()[0] and mass.agg(F.max("p")).first()[0] <= 1 + 1e-9
-    slots = counted.select("lang", "run", F.xxhash64("lang", "run").bitwiseAND(F.lit((1 << perplexity.BITS) - 1)).alias("s")).collect()
-    assert all(perplexity._slots(np.array([r["run"]]), r["lang"])[0] == r["s"] for r in slots[:200])
-
-
-def test_perplexity_of_lookup_equals_model(docs, rows):
-    model = perplexity.fit(docs)
-    table = {(r["lang"], r["run"]): r["logp"] for r in perplexity.kneser_ney(perplexity.counts(docs)).collect()}
-    got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(docs, model).collect()}
-    for i, t in rows[:20]:
-        b, lang = b"\x02" * 4 + t.encode(), ["en", "de", ""][i % 3]
-        want = -np.mean([table[lang, int.from_bytes(b[k - 4 : k + 1], "big")] for k in range(4, len(b))])
-        assert abs(got[i] - want) < 0.02
-
-
-def test_every_run_keeps_its_own_probability(spark, sf, docs):
+        if t:
+            b = b"\x02" * 4 + t.encode()
+            key = f"{['en', 'de', ''][i % 3]}/{brute.half(t.encode())}"
+            for k in range(4, len(b)):
+                want[key, int.from_bytes(b[k - 4 : k + 1], "big")] += 1
+    counted = perplexity.counts(docs)
+    assert {(r["key"], r["run"]): r["n"] for r in counted.collect()} == dict(want)
+    slots = counted.select("key", "run", F.xxhash64("key", "run").bitwiseAND(F.lit((1 << perplexity.BITS) - 1)).alias("s")).collect()
+    assert all(perplexity._slots(np.array([r["run"]]), r["key"])[0] == r["s"] for r in slots[:200])
+
+
+def test_kneser_ney_equals_the_formulas(spark, rows):
+    texts = [t.encode() for _, t in rows if t and brute.half(t.encode()) == 0]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    logp, met = brute.kneser_ney(texts)
+    table = {r["code"]: r["value"] for r in perplexity.kneser_ney(perplexity.counts(df)).where("key = 'en/0'").collect()}
+    code = lambda run: int.from_bytes(run, "big") + (len(run) << perplexity.SHIFT)
+    assert max(abs(table[code(r)] - logp(r)) for r in met) < 1e-9
+    assert {c for c in table if c >> perplexity.SHIFT == 5} == {code(r) for r in met}
+    for context in [r[:-1] for r in sorted(met)[::200]]:  # what follows a context sums to one
+        assert abs(sum(np.exp(logp(context + bytes([x]))) for x in range(256)) - 1) < 1e-9
+
+
+def test_perplexity_query_equals_brute_force(spark, sf):
+    """The whole result of op2: counts, base, perplexities by the other half's model, and bands, by plain Python."""
+    docs = [(r["doc_id"], r["lang"] or "", (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    model = {(g, h): brute.kneser_ney([t for _, x, t in docs if x == g and brute.half(t) == h])[0] for g in {g for _, g, _ in docs} for h in (0, 1)}
+    rows, base = [], {}
+    for i, lang, t in docs:
+        n = base[i] = brute.base_counts(t.decode())
+        b, logp = b"\x02" * 4 + t, model[lang, 1 - brute.half(t)]
+        score = -sum(logp(b[k : k + 5]) for k in range(len(t))) / len(t) if t else None
+        rows.append((i, lang, len(t), n[0] < 20 or 100 * n[4] > 30 * n[0], score))
+    kept = brute.bands(rows)
+    got = {r["doc_id"]: r for r in queries.op2_kn_perplexity(spark, sf).collect()}
+    assert got.keys() == kept.keys()
+    for i, _, _, failed, score in rows:
+        r = got[i]
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == base[i] and r["base_failed"] == failed
+        assert r["log_perplexity"] == pytest.approx(score, abs=1e-5) if score is not None else r["log_perplexity"] is None
+    assert sum(got[i]["kept"] != k for i, k in kept.items()) <= 1  # a text at the very edge may fall to either side
+
+
+def test_bands_have_two_sides(spark, sf):
+    """Texts of one word over and over are too easy, texts of random bytes too hard: both are outside."""
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND length(text) BETWEEN 800 AND 6000").select("doc_id", "text", "lang")
+    easy = [" ".join(f"{rng.choice(('the', 'and', 'of'))} {rng.choice('abcdefghij')}" for _ in range(400)) for _ in range(3)]
+    hard = [" ".join("".join(rng.choice("qxzjkvwQXZJ0123456789") for _ in range(6)) for _ in range(300)) for _ in range(3)]
+    more = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(easy + hard)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in perplexity.judged(docs.unionByName(more)).collect()}
+    middle = np.median([r["log_perplexity"] for i, r in got.items() if i >= 0])
+    assert all(got[-1 - i]["log_perplexity"] < middle and not got[-1 - i]["kept"] for i in range(3))
+    assert all(got[-4 - i]["log_perplexity"] > middle and not got[-4 - i]["kept"] for i in range(3))
+    assert np.mean([r["kept"] for i, r in got.items() if i >= 0 and not r["base_failed"]]) > 0.8
+
+
+def test_entries_beyond_the_broadcast_give_the_same_scores(spark, sf, docs):
     many = spark.read.parquet(f"{sf}/documents.parquet")
-    assert len(perplexity.fit(many)[0]) == perplexity.counts(many).count()
+    assert len(perplexity.fit(many)[0]) == perplexity.kneser_ney(perplexity.counts(many)).count()
     whole, parted = perplexity.fit(docs), perplexity.fit(docs, 300)
-    assert whole[2] is None and 0 < len(parted[0]) <= 300 and len(parted[0]) + parted[2].count() == len(whole[0])
-    want, got = ({r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(docs, m).collect()} for m in (whole, parted))
-    assert want.keys() == got.keys() and all(want[i] == pytest.approx(got[i], abs=1e-6) for i in want)
-    other = docs.withColumn("text", F.lit("quite unseen ~~~"))  # runs that are in no model
-    want, got = ({r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(other, m).collect()} for m in (whole, parted))
-    assert all(want[i] == pytest.approx(got[i], abs=1e-6) for i in want)
+    assert whole[2] is None and 0 < len(parted[0]) <= 300 and parted[2].count() == len(whole[0])
+    other = docs.withColumn("text", F.concat(F.lit("quite unseen ~~~ "), F.col("doc_id")))
+    for texts in (docs, other):
+        want, got = ({r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(texts, m).collect()} for m in (whole, parted))
+        assert want.keys() == got.keys() and all(want[i] == pytest.approx(got[i], abs=1e-6) for i in want)
 
 
 def test_simhash_groups(docs, odd, empty, rows, monkeypatch):
@@ -304,6 +339,17 @@ def test_mix(docs, odd, empty, rows):
         assert len(r["positions"]) == (r["taken"] // r["size"] if r["size"] else 0) and r["positions"] == sorted(r["positions"])
 
 
+def test_mix_query_equals_brute_force(spark, sf):
+    """The whole result of op6: targets, what is taken and every training position."""
+    rows = [(r["doc_id"], r["source"], len(brute.WORD.findall(r["text"] or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute.mixed(rows)
+    got = {r["doc_id"]: r for r in mix.curriculum_mix(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got.keys() == want.keys() and {i: r["taken"] for i, r in got.items()} == {i: t for i, (t, _) in want.items()}
+    assert all(got[i]["positions"] == pytest.approx(at, abs=1e-9) for i, (_, at) in want.items())
+    ours = {r["doc_id"]: (r["taken"], r["position"]) for r in queries.op6_curriculum_mix(spark, sf).collect()}
+    assert ours == {i: (r["taken"], r["position"]) for i, r in got.items()}
+
+
 def test_schedules_invert():
     for schedule in (([0, 1], [0.5, 1.5]), ([0, 0.3, 1], [2, 0, 1]), ([0, 1], [1, 1])):
         u, w, area = mix.cumulative(schedule)
@@ -401,10 +447,38 @@ def test_token_files(spark, docs, odd, empty, rows, tmp_path, encoding):
         assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert tokenbin.read(spark, path, ["doc_id", "n_tokens"]).columns == ["doc_id", "n_tokens"]
+    import pyarrow.parquet as pq
+
+    part = pq.ParquetFile(sorted((tmp_path / "x").glob("*.parquet"))[0]).metadata.row_group(0)
+    ids = next(c for c in (part.column(i) for i in range(part.num_columns)) if c.path_in_schema.startswith("token_ids"))
+    assert ("DELTA_BINARY_PACKED" in ids.encodings) == (encoding == "delta") and any("DICTIONARY" in e for e in ids.encodings) == (encoding == "dictionary")
+    assert ids.has_offset_index and ids.has_column_index
     assert tokenbin.read(spark, tokenbin.write(odd, queries.word_bpe(), str(tmp_path / "o"))).count() == 5
     assert tokenbin.read(spark, tokenbin.write(empty, queries.word_bpe(), str(tmp_path / "e"))).count() == 0
 
 
+def test_row_groups_and_selective_reads(spark, tmp_path):
+    """Sizes take effect, a small column is read alone, and some documents are found by their range of ids."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=600))) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tokenbin.write(df, queries.word_bpe(), str(tmp_path / "small"), row_group_bytes=1 << 19, page_bytes=1 << 12)
+        tokenbin.write(df, queries.word_bpe(), str(tmp_path / "large"), row_group_bytes=64 << 20, page_bytes=1 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    groups = {n: [g for p in (tmp_path / n).glob("*.parquet") for f in [pq.ParquetFile(p).metadata] for g in map(f.row_group, range(f.num_row_groups))] for n in ("small", "large")}
+    assert len(groups["small"]) > 2 * len(groups["large"])
+    ranges = sorted((g.column(0).statistics.min, g.column(0).statistics.max) for g in groups["small"])
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))  # a range of ids lies in few row groups
+    some = tokenbin.read(spark, str(tmp_path / "small"), ["doc_id", "n_tokens"]).where("doc_id BETWEEN 100 AND 103")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "token_ids" not in plan.split("ReadSchema")[1].split("\n")[0] and "PushedFilters" in plan and "GreaterThanOrEqual(doc_id,100)" in plan
+    assert sorted(r["doc_id"] for r in some.collect()) == [100, 101, 102, 103]
+
+
 def test_personal_data(spark, docs, odd, empty):
     rng = random.Random(7)
     tricky = ["a@b.c%d@e.f", None, "", "9" * 5000, "1.2.3.4.5.6.7.8 00255.1.1.1 256.1.1.1", "4111 1111 1111 1111 +1 (499) 555-6503) +49 30 1234567 8", "😀 a.b@c.de 😀 1.2.3.4", "a@" * 500 + "b.c"]
