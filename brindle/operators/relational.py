@@ -15,10 +15,13 @@ from ..functions import measures
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; a temporary one only where none is set."""
+    """Checkpoint in the folder that the cluster names; a temporary one only in local mode where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="brindle-"))
     return df.checkpoint()
 
 
@@ -72,8 +75,9 @@ def zip_columns(left: DataFrame, right: DataFrame, left_order: str, right_order:
 
 
 def kth_smallest(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The k-th smallest value from 1, nulls left out: a top-k, then its largest."""
-    return df.where(F.col(column).isNotNull()).select(column).orderBy(column).limit(k).agg(F.max(column).alias("value"))
+    """The k-th smallest value from 1, nulls left out (null if there are fewer): by position, so that no task holds k rows."""
+    rows = numbered(df.where(F.col(column).isNotNull()).select(column), column)
+    return rows.where(F.col("rid") == k - 1).agg(F.max(column).alias("value"))
 
 
 def mean_or_mode(df: DataFrame, numeric: list[str], nominal: list[str]) -> DataFrame:
@@ -86,6 +90,12 @@ def mean_or_mode(df: DataFrame, numeric: list[str], nominal: list[str]) -> DataF
     return parts
 
 
+def weighted_mean_or_mode(df: DataFrame, numeric: str, nominal: str, weight: str) -> DataFrame:
+    """mean and mode of two columns with row weights (the smallest label on ties)."""
+    mode = df.where(F.col(nominal).isNotNull()).groupBy(nominal).agg(F.sum(weight).alias("_w")).agg(F.min_by(nominal, F.struct(-F.col("_w"), F.col(nominal))).alias("mode"))
+    return df.agg(measures.weighted_mean(numeric, weight).alias("mean")).join(F.broadcast(mode))
+
+
 def attribute_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """attribute, total, missing, distinct and unique values: one two-level aggregation for all columns."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")

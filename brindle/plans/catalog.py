@@ -479,13 +479,16 @@ def affine_gap_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.affine_similarity(pairs, "a", "b").select("id1", "id2", F.round("affine", 6).alias("affine"))
 
 
-def queries() -> dict[str, Query]:
-    from . import catalog_more  # noqa: F401  it registers its own
+def _all() -> None:
+    """Import the modules that register more queries."""
+    from . import catalog_more, catalog_rows  # noqa: F401
+
 
+def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
-
+    _all()
     return dict(ORACLE)
