@@ -5,6 +5,9 @@ Classes meet on the rarest tokens of each (a prefix that two classes above the t
 common tokens stay in the measure and are only left out of the index where the threshold allows it.
 """
 
+from __future__ import annotations
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,18 @@ def ngrams(text: str | Column, n: int = 3) -> Column:
     return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams_but_last(text: str | Column, n: int = 3) -> Column:
+    """Character n-grams without the last one of the text, as some tokenizers count them."""
+    grams = ngrams(text, n)
+    return F.slice(grams, F.lit(1), F.greatest(F.size(grams) - 1, F.lit(0)))
+
+
+def shared_of_larger(a: Column, b: Column) -> Column:
+    """Distinct shared tokens over the larger number of distinct tokens; 0 where both are empty."""
+    largest = F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.when(largest > 0, F.size(F.array_intersect(a, b)) / largest).otherwise(F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Distinct shared over distinct all; 0 where both are empty."""
     union = F.size(F.array_union(a, b))
@@ -64,25 +79,65 @@ def affine_distance(a: str, b: str, match: float = -5.0, mismatch: float = 5.0,
     return min(m[-1], x[-1], y[-1]) / (len(a) + len(b))
 
 
+def affine_distances(a: list[str], b: list[str], match: float = -5.0, mismatch: float = 5.0, gap_open: float = 5.0, gap_extend: float = 1.0) -> np.ndarray:
+    """``affine_distance`` of many pairs at once: one step for each pair of positions, over all pairs of the batch.
+
+    The gap inside a row runs along the row, so it is the one inner loop; pairs are padded to the longest of the batch and
+    each is read where it ends.
+    """
+    k = len(a)
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    x = np.full((k, max(n.max(initial=0), 1)), -1, "int32")
+    y = np.full((k, max(m.max(initial=0), 1)), -2, "int32")
+    for i, (s, t) in enumerate(zip(a, b)):
+        x[i, : len(s)], y[i, : len(t)] = [ord(c) for c in s], [ord(c) for c in t]
+    width, far, rows = y.shape[1], np.inf, np.arange(k)
+    best = np.full((k, width + 1), far)
+    best[:, 0] = 0.0
+    up = np.full((k, width + 1), far)
+    across = np.concatenate([np.full(1, far), gap_open + gap_extend * np.arange(width)]) * np.ones((k, 1))
+    end = lambda: np.minimum(np.minimum(best, across), up)[rows, m]
+    out = np.where(n == 0, end(), far)
+    for i in range(1, x.shape[1] + 1):
+        before = np.minimum(np.minimum(best, across), up)
+        new_up = np.minimum(np.minimum(best, across) + gap_open, up + gap_extend)
+        new_up[:, 0] = gap_open + gap_extend * (i - 1)
+        new = np.full((k, width + 1), far)
+        new[:, 1:] = before[:, :-1] + np.where(x[:, i - 1 : i] == y, match, mismatch)
+        new_across = np.full((k, width + 1), far)
+        for j in range(1, width + 1):
+            new_across[:, j] = np.minimum(np.minimum(new[:, j], new_up[:, j - 1]) + gap_open, new_across[:, j - 1] + gap_extend)
+        # A gap across opens after the match of the same cell.
+        best, up, across = new, new_up, new_across
+        out = np.where(n == i, end(), out)
+    return np.where(n + m > 0, out / np.maximum(n + m, 1), 0.0)
+
+
 def affine_similarity(pairs: DataFrame, a: str, b: str, out: str = "affine") -> DataFrame:
-    """Distance of two text columns in Arrow batches."""
+    """Distance of two text columns in Arrow batches, a batch at a time; null where either is."""
 
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None or t is None else affine_distance(s, t) for s, t in zip(x, y)], dtype="float64")
+        some = (x.notna() & y.notna()).to_numpy()
+        got = np.full(len(x), np.nan)
+        order = np.flatnonzero(some)
+        order = order[np.argsort((x[some].str.len() + y[some].str.len()).to_numpy(), kind="stable")]
+        for k in range(0, len(order), 512):  # of like lengths, so that little is padded
+            part = order[k : k + 512]
+            got[part] = affine_distances(x.iloc[part].tolist(), y.iloc[part].tolist())
+        return pd.Series(got).astype("Float64").mask(~some)
 
     return pairs.withColumn(out, distance(a, b))
 
 
-def token_weights(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
-    """key, token, weight: tf-idf of unit length per record; ``most`` drops tokens in more records from the index."""
+def token_weights(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, token, weight, df: tf-idf of unit length per record."""
     counts = df.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     frequency = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rows = df.select(F.count(F.lit(1)).alias("rows"))
     raw = counts.join(frequency, "token").join(F.broadcast(rows)).withColumn("w", F.col("tf") * F.log(F.col("rows") / F.col("df")))
     length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    out = raw.join(length, key).where("len > 0").select(key, "token", (F.col("w") / F.col("len")).alias("weight"), "df")
-    return out.where(F.col("df") <= most) if most else out
+    return raw.join(length, key).where("len > 0").select(key, "token", (F.col("w") / F.col("len")).alias("weight"), "df")
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:

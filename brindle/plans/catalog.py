@@ -461,10 +461,12 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.token_weights(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name").select("p_partkey", "token", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {_WEIGHTS}, n AS (SELECT * FROM u WHERE df <= 500) SELECT a.id AS id1, b.id AS id2, round(sum(a.w * b.w), 6) AS similarity FROM n a JOIN n b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.95")
-def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linkage.cosine_pairs(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 0.95, 500)
-    return found.select("id1", "id2", F.round("similarity", 6).alias("similarity"))
+@query(f"""WITH {_WEIGHTS}, v AS (SELECT id, list(token || ':' || round(w, 9) ORDER BY token) AS v FROM u GROUP BY 1), k AS (SELECT v, min(id) AS class_id, count(*) AS n FROM v GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS s FROM u a JOIN u b USING (token) WHERE a.id IN (SELECT class_id FROM k) AND b.id IN (SELECT class_id FROM k) AND a.id <> b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.6),
+o AS (SELECT a AS class_id, sum(n) AS n FROM p JOIN k ON b = class_id GROUP BY 1)
+SELECT v.id AS p_partkey, k.class_id, (k.n - 1 + coalesce(o.n, 0))::BIGINT AS links FROM v JOIN k USING (v) LEFT JOIN o USING (class_id)""")
+def tfidf_cosine_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.cosine_classes(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 0.6)
 
 
 @query("WITH n AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_name, c_custkey) AS r FROM customer) SELECT a.id AS id1, b.id AS id2 FROM n a JOIN n b ON b.r - a.r IN (1, 2, 3)")
@@ -474,14 +476,15 @@ def sorted_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def affine_gap_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    pairs = n.select(F.col("n_nationkey").alias("id1"), F.col("n_name").alias("a"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("id2"), F.col("n_name").alias("b"), "n_regionkey"), "n_regionkey").where("id1 < id2")
-    return linkage.affine_similarity(pairs, "a", "b").select("id1", "id2", F.round("affine", 6).alias("affine"))
+    """Every pair of distinct names that share a first token: the names of parts, each compared once."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("k", linkage.tokens("p_name")[0])
+    pairs = names.select(F.col("p_name").alias("a"), "k").join(names.select(F.col("p_name").alias("b"), "k"), "k").where("a < b")
+    return linkage.affine_similarity(pairs, "a", "b").select("a", "b", F.round("affine", 6).alias("affine"))
 
 
 def _all() -> None:
     """Import the modules that register more queries."""
-    from . import catalog_more, catalog_rows  # noqa: F401
+    from . import catalog_linkage, catalog_more, catalog_rows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

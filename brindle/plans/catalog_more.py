@@ -62,17 +62,17 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT min(p_size) AS a, max(p_size) - min(p_size) AS w, min(p_retailprice) AS c, max(p_retailprice) - min(p_retailprice) AS v FROM part),
-d AS (SELECT q.p_partkey AS query, t.p_partkey AS neighbour, round(sqrt(((q.p_size - t.p_size) / w) ^ 2 + ((q.p_retailprice - t.p_retailprice) / v) ^ 2), 9) AS d FROM part q, part t, b WHERE q.p_partkey % 100 = 0),
+d AS (SELECT q.p_partkey AS query, t.p_partkey AS neighbour, round(sqrt(((q.p_size - t.p_size) / w) ^ 2 + ((q.p_retailprice - t.p_retailprice) / v) ^ 2), 9) AS d FROM part q, part t, b WHERE q.p_partkey % 20 = 0),
 r AS (SELECT query, neighbour, row_number() OVER (PARTITION BY query ORDER BY d, neighbour)::INTEGER AS rank, round(d, 6) AS distance FROM d) SELECT * FROM r WHERE rank <= 5""")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    return neighbours.nearest(p, p.where("p_partkey % 100 = 0"), ["p_size", "p_retailprice"], "p_partkey", 5)
+    return neighbours.nearest(p, p.where("p_partkey % 20 = 0"), ["p_size", "p_retailprice"], "p_partkey", 5)
 
 
 @query()
 def neighbour_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
-    return neighbours.classify(p, p.where("p_partkey % 100 = 0"), ["p_size", "p_retailprice"], "p_partkey", "p_brand", 7)
+    return neighbours.classify(p, p.where("p_partkey % 20 = 0"), ["p_size", "p_retailprice"], "p_partkey", "p_brand", 7)
 
 
 @query()
