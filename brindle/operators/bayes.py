@@ -8,12 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .models import Model, cell_counts, class_counts, classes_of, coded, numeric
+from .models import Model, cell_counts, class_counts, classes_of, coded, let, numeric
 
 
 def _softmax(classes: list[str], logs: list[Column]) -> Model:
-    top = F.array_max(F.array(*logs))
-    return Model(classes, F.array(*[F.exp(x - top) for x in logs]))
+    return Model(classes, let(F.array(*logs), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))))
 
 
 def naive_bayes(df: DataFrame, columns: list[str], label: str, weight: Column | None = None, kernels: int = 0) -> Model:

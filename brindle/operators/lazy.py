@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .models import Model, classes_of
 from .neighbours import nearest
-from .transforms import ranges_of
 
 
 def weighted_neighbours(train: DataFrame, queries: DataFrame, columns: list[str], key: str, label: str, k: int, weighting: str = "none") -> DataFrame:
@@ -26,9 +27,6 @@ def locally_weighted(train: DataFrame, queries: DataFrame, columns: list[str], k
 
     Only k rows for each query are joined back; sums of products are taken for each query and solved in Arrow batches.
     """
-    import numpy as np
-    import pandas as pd
-
     d = len(columns) + 1
     found = nearest(train, queries, columns, key, k)
     far = found.groupBy("query").agg(F.max("distance").alias("_far"))
@@ -79,9 +77,7 @@ def entropic_neighbours(train: DataFrame, queries: DataFrame, columns: list[str]
 def feature_intervals(df: DataFrame, columns: list[str], label: str, bias: float = 0.6) -> Model:
     """Every attribute votes by the share of each class (relative to the class's size) in the value's interval, weighted by
     the attribute's confidence raised to ``bias``; intervals end at the classes' smallest and largest values."""
-    import numpy as np
-
-    from .models import Coding, cell_counts, class_counts, coded, entropy, numeric
+    from .models import Coding, cell_counts, class_counts, coded, entropy, let, numeric
 
     classes = classes_of(df, label)
     numbers = [c for c in columns if numeric(df, c)]
@@ -133,7 +129,3 @@ def pipes_model(df: DataFrame, columns: list[str], label: str) -> Model:
                 seen = [c.labels[i] for i in range(c.size) if t[i, y] > 0]
                 scores[y] = scores[y] + F.coalesce(F.col(c.column).isin(seen).cast("double"), F.lit(0.0))
     return Model(classes, F.array(*scores))
-
-
-def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    return ranges_of(df, columns)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .models import Learn, Model, Regressor, class_counts, classes_of
+from .models import Learn, Model, Regressor, adding, class_counts, classes_of, let
 from .relational import cut, with_folds
 from .rows import uniform
 
@@ -21,30 +21,30 @@ from .rows import uniform
 def aligned(models: list[Model]) -> tuple[list[str], list[list[Column]]]:
     """All labels in order, and each model's probabilities under them."""
     labels = sorted({x for m in models for x in m.labels})
-    out = []
-    for m in models:
-        p = m.probabilities()
-        out.append([p[m.labels.index(x)] if x in m.labels else F.lit(0.0) for x in labels])
-    return labels, out
+    return labels, [[p[i] for i in range(len(labels))] for p in (_under(m, labels, 1.0) for m in models)]
+
+
+def _under(m: Model, labels: list[str], weight: float) -> Column:
+    """The model's probabilities times a weight, in the order of other labels."""
+    return let(m.probabilities(), lambda d: F.array(*[d[m.labels.index(x)] * F.lit(float(weight)) if x in m.labels else F.lit(0.0) for x in labels]))
 
 
 def averaged(models: list[Model], weights: list[float] | None = None) -> Model:
     """The (weighted) mean of probabilities."""
-    labels, parts = aligned(models)
+    labels = sorted({x for m in models for x in m.labels})
     weights = weights or [1.0] * len(models)
-    return Model(labels, F.array(*[sum((F.lit(float(w)) * p[i] for w, p in zip(weights, parts)), F.lit(0.0)) for i in range(len(labels))]))
+    parts = F.array(*[_under(m, labels, w) for m, w in zip(models, weights)])
+    at = lambda i: lambda d: d[i]
+    return Model(labels, let(parts, lambda every: F.array(*[F.aggregate(every, F.lit(0.0), adding(at(i))) for i in range(len(labels))])))
 
 
 def voted(models: list[Model], weights: list[float]) -> Model:
     """Weighted votes, each for a model's most probable label."""
     labels = sorted({x for m in models for x in m.labels})
 
-    def vote(m: Model) -> Column:
-        p = m.probabilities()
-        return F.array(*[F.lit(x) for x in m.labels])[(F.array_position(p, F.array_max(p)) - 1).cast("int")]
-
-    votes = [vote(m) for m in models]
-    return Model(labels, F.array(*[sum((F.lit(float(w)) * (v == x).cast("double") for w, v in zip(weights, votes)), F.lit(0.0)) for x in labels]))
+    votes = F.array(*[F.named_struct(F.lit("v"), m.vote(), F.lit("w"), F.lit(float(w))) for m, w in zip(models, weights)])
+    of = lambda label: lambda x: F.when(x["v"] == label, x["w"])
+    return Model(labels, let(votes, lambda every: F.array(*[F.aggregate(every, F.lit(0.0), adding(of(label))) for label in labels])))
 
 
 def draws(key: str, member: int, seed: int, mean: float = 1.0) -> Column:
@@ -98,9 +98,7 @@ def ada_boost(learn: Learn, df: DataFrame, columns: list[str], label: str, round
             break
         models.append(m)
         betas.append(math.log((1 - e) / e))
-        p = m.probabilities()
-        hit = F.array(*[F.lit(x) for x in m.labels])[(F.array_position(p, F.array_max(p)) - 1).cast("int")] == F.col(label).cast("string")
-        weight = weight * F.when(hit, F.lit(e / (1 - e))).otherwise(F.lit(1.0))
+        weight = weight * F.when(m.vote() == F.col(label).cast("string"), F.lit(e / (1 - e))).otherwise(F.lit(1.0))
     return voted(models, betas), betas
 
 
@@ -123,11 +121,10 @@ def logit_boost(df: DataFrame, columns: list[str], label: str, learn: Callable[.
     f: Column = F.lit(0.0)
     y = (F.col(label).cast("string") == classes[-1]).cast("double")
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-2 * f))
-        w = F.greatest(p * (1 - p), F.lit(1e-6))
-        z = F.least(F.greatest((y - p) / w, F.lit(-4.0)), F.lit(4.0))
-        f = f + 0.5 * learn(rows.withColumn("_z", z), columns, "_z", weight=w).value
-    return Model([classes[0], classes[-1]], F.array(1 / (1 + F.exp(2 * f)), 1 / (1 + F.exp(-2 * f))))
+        now = rows.withColumn("_p", 1 / (1 + F.exp(-2 * f))).withColumn("_w", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-6)))
+        now = now.withColumn("_z", F.least(F.greatest((y - F.col("_p")) / F.col("_w"), F.lit(-4.0)), F.lit(4.0)))
+        f = f + 0.5 * learn(now, columns, "_z", weight=F.col("_w")).value
+    return Model([classes[0], classes[-1]], let(f, lambda t: F.array(1 / (1 + F.exp(2 * t)), 1 / (1 + F.exp(-2 * t)))))
 
 
 def raced_logit_boost(df: DataFrame, columns: list[str], label: str, key: str, learn: Callable[..., Regressor], chunks: tuple[int, ...] = (2, 4), rounds: int = 4, seed: int = 1) -> Model:
@@ -179,8 +176,7 @@ def decorated(learn: Learn, df: DataFrame, columns: list[str], label: str, key:
             normal = F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-9)))) * F.cos(2 * math.pi * v)
             made = made.withColumn(c, F.lit(float(stats[f"m{i}"] or 0.0)) + normal * F.lit(float(stats[f"s{i}"] or 0.0)))
         now = averaged(models)
-        p = now.probabilities()
-        least = F.array(*[F.lit(x) for x in now.labels])[(F.array_position(p, F.array_min(p)) - 1).cast("int")]
+        least = Model(now.labels, let(now.probabilities(), lambda d: F.transform(d, lambda x: 1 - x))).vote()
         m = learn(cut(rows.select(*columns, F.col(label).cast("string").alias(label)).unionByName(made.withColumn("_l", least).select(*columns, F.col("_l").alias(label)))), columns, label)
         e = error(averaged([*models, m]))
         if e <= best:
@@ -305,10 +301,9 @@ def cost_sensitive(learn: Learn, df: DataFrame, columns: list[str], label: str,
 
 
 def least_expected(m: Model, costs: dict[tuple[str, str], float]) -> Model:
-    p = m.probabilities()
-    expected = F.array(*[sum((p[i] * F.lit(float(costs.get((a, x), 0.0))) for i, a in enumerate(m.labels)), F.lit(0.0)) for x in m.labels])
-    least = F.array_position(expected, F.array_min(expected)) - 1
-    return Model(m.labels, F.array(*[(least == i).cast("double") for i in range(len(m.labels))]))
+    expected = lambda p: F.array(*[-sum((p[i] * F.lit(float(costs.get((a, x), 0.0))) for i, a in enumerate(m.labels)), F.lit(0.0)) for x in m.labels])
+    best = Model(m.labels, let(m.probabilities(), expected)).vote()
+    return Model(m.labels, let(best, lambda v: F.array(*[(v == x).cast("double") for x in m.labels])))
 
 
 def meta_cost(learn: Learn, df: DataFrame, columns: list[str], label: str, key: str, costs: dict[tuple[str, str], float], members: int = 5, seed: int = 1) -> Model:
@@ -360,8 +355,7 @@ def by_discretization(learn: Learn, df: DataFrame, columns: list[str], label: st
     binned = equal_width(df.where(F.col(label).isNotNull()), label, bins, "_bin").withColumn("_bin", F.lpad(F.col("_bin").cast("string"), 4, "0"))
     means = {r["_bin"]: float(r["m"]) for r in binned.groupBy("_bin").agg(F.avg(label).alias("m")).collect()}
     m = learn(binned, columns, "_bin")
-    p = m.probabilities()
-    return Regressor(sum((p[i] * F.lit(means[x]) for i, x in enumerate(m.labels)), F.lit(0.0)))
+    return Regressor(let(m.probabilities(), lambda p: sum((p[i] * F.lit(means[x]) for i, x in enumerate(m.labels)), F.lit(0.0))))
 
 
 def thresholded(m: Model, df: DataFrame, label: str, positive: str) -> tuple[float, Model]:

@@ -30,18 +30,34 @@ class Model:
     distribution: Column
 
     def probabilities(self) -> Column:
-        total = F.aggregate(self.distribution, F.lit(0.0), lambda s, x: s + x)
+        """Weights that sum to one; equal ones where there is none."""
         flat = F.array(*[F.lit(1.0 / max(1, len(self.labels)))] * len(self.labels))
-        return F.when(total > 0, F.transform(self.distribution, lambda x: x / total)).otherwise(flat)
+        total = lambda d: F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
+        return let(self.distribution, lambda d: F.when(total(d) > 0, F.transform(d, lambda x: x / total(d))).otherwise(flat))
+
+    def vote(self) -> Column:
+        """The label of the largest weight, the first on ties."""
+        best = let(self.distribution, lambda d: F.array_min(F.transform(d, lambda x, i: F.named_struct(F.lit("s"), -F.round(x, 12), F.lit("i"), i))))
+        return F.array(*[F.lit(x) for x in self.labels])[best["i"]]
 
     def apply(self, df: DataFrame, out: str = "prediction", distribution: str | None = "distribution") -> DataFrame:
         """Adds the label of the largest probability (the first on ties) and all probabilities."""
         if not self.labels:
             return df.withColumn(out, F.lit(None).cast("string"))
-        df = df.withColumn("_d", self.probabilities())
-        best = F.array_min(F.transform("_d", lambda x, i: F.struct((-F.round(x, 12)).alias("s"), i.alias("i"))))["i"]
-        df = df.withColumn(out, F.array(*[F.lit(x) for x in self.labels])[best])
-        return (df.withColumn(distribution, F.col("_d")) if distribution else df).drop("_d")
+        if not distribution:
+            return df.withColumn(out, self.vote())
+        df = df.withColumn(distribution, self.probabilities())
+        return df.withColumn(out, Model(self.labels, F.col(distribution)).vote())
+
+
+def adding(cell: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    """A step of ``aggregate`` that adds a part of each element (nothing where it is null)."""
+    return lambda s, x: s + F.coalesce(cell(x), F.lit(0.0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written into the plan once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 @dataclass
@@ -73,7 +89,14 @@ class Coding:
             at = F.array_position(F.array(*[F.lit(str(x)) for x in self.labels]) if self.labels else F.array().cast("array<string>"), c)
             return F.when(at > 0, (at - 1).cast("int"))
         x = F.col(self.column).cast("double")
-        return F.when(x.isNotNull(), sum(((x > F.lit(c)).cast("int") for c in self.cuts), F.lit(0)))
+        return F.when(x.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(c)) for c in self.cuts]).cast("array<double>"), lambda c: c < x)))
+
+    def test(self, kind: str, i: int) -> Column:
+        """code = i, code <= i or code > i on the column itself; null where it is missing."""
+        if kind == "=":
+            return F.col(self.column).cast("string") == str(self.labels[i])
+        x, c = F.col(self.column).cast("double"), F.lit(float(self.cuts[i]))
+        return x <= c if kind == "<=" else x > c
 
 
 def coded(df: DataFrame, columns: list[str], bins: int = 32, most_labels: int = 1000) -> list[Coding]:

@@ -30,8 +30,7 @@ class Rule:
     def covers(self, codings: list[Coding]) -> Column:
         out = F.lit(True)
         for a, kind, i in self.tests:
-            c = codings[a].code()
-            out = out & F.coalesce(c == i if kind == "=" else c <= i if kind == "<=" else c > i, F.lit(False))
+            out = out & F.coalesce(codings[a].test(kind, i), F.lit(False))
         return out
 
     def text(self, codings: list[Coding]) -> str:

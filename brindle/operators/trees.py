@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .models import Coding, Model, Regressor, cell_counts, cell_moments, classes_of, coded, entropy
+from .models import Coding, Model, Regressor, adding, cell_counts, cell_moments, classes_of, coded, entropy, let
 from .relational import cut
 from .rows import uniform
 
@@ -50,13 +50,16 @@ def leaf_number(node: Node, codings: list[Coding], number: dict[int, int]) -> Co
     """The number of the leaf that a row falls into; missing and unknown values follow the heaviest child."""
     if not node.children:
         return F.lit(number[id(node)])
-    code, parts = codings[node.attribute].code(), [leaf_number(c, codings, number) for c in node.children]
+    coding, parts = codings[node.attribute], [leaf_number(c, codings, number) for c in node.children]
     if node.at is not None:
-        return F.when(code.isNull(), parts[node.heaviest()]).when(code <= node.at, parts[0]).otherwise(parts[1])
+        left = F.coalesce(coding.test("<=", node.at), F.lit(node.heaviest() == 0))
+        return F.when(left, parts[0]).otherwise(parts[1])
     out = None
     for i, p in enumerate(parts):
-        out = F.when(code == i, p) if out is None else out.when(code == i, p)
-    return out.otherwise(parts[node.heaviest()])
+        if i != node.heaviest():
+            hit = coding.test("=", i)
+            out = F.when(hit, p) if out is None else out.when(hit, p)
+    return parts[0] if out is None else out.otherwise(parts[node.heaviest()])
 
 
 def numbered_leaves(root: Node, codings: list[Coding]) -> tuple[list[Node], Column]:
@@ -276,7 +279,7 @@ def model_tree(df: DataFrame, columns: list[str], label: str, max_depth: int = 3
         mean[0] = b[0] / n
         rows.append((n * beta + smooth * mean) / (n + smooth))
     table = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in rows])
-    return Regressor(sum((table[at][i] * t for i, t in enumerate(x)), F.lit(0.0)))
+    return Regressor(let(table[at], lambda b: sum((b[i] * t for i, t in enumerate(x)), F.lit(0.0))))
 
 
 def bayes_tree(df: DataFrame, columns: list[str], label: str, max_depth: int = 2, least: float = 30.0) -> Model:
@@ -293,15 +296,11 @@ def bayes_tree(df: DataFrame, columns: list[str], label: str, max_depth: int = 2
         logs.append(([float(x) for x in np.log((prior + 1) / (prior.sum() + len(classes)))], [[[float(x) for x in row] for row in np.log((t[:-1] + 1) / (t[:-1].sum(axis=0) + c.size))] for t, c in zip(own, codings)]))
     lit = lambda v: F.array(*[lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
     priors = lit([p for p, _ in logs])
-    scores = []
     cells = [lit([own[j] for _, own in logs]) for j in range(len(codings))]
-    for y in range(len(classes)):
-        s = priors[at][y]
-        for j, c in enumerate(codings):
-            s = s + F.coalesce(cells[j][at][c.code()][y], F.lit(0.0))
-        scores.append(s)
-    top = F.array_max(F.array(*scores))
-    return Model(classes, F.array(*[F.exp(s - top) for s in scores]))
+    each = lambda leaf: F.array(priors[leaf], *[cells[j][leaf][c.code()] for j, c in enumerate(codings)])
+    at_class = lambda y: lambda x: x[y]
+    sums = let(let(at, each), lambda parts: F.array(*[F.aggregate(parts, F.lit(0.0), adding(at_class(y))) for y in range(len(classes))]))
+    return Model(classes, let(sums, lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))))
 
 
 def logistic_tree(df: DataFrame, columns: list[str], label: str, max_depth: int = 2, least: float = 30.0, rounds: int = 8, ridge: float = 1.0) -> Model:
@@ -328,11 +327,8 @@ def logistic_tree(df: DataFrame, columns: list[str], label: str, max_depth: int
             for r in data.groupBy("_leaf").agg(*aggs).collect():
                 h = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(len(xs))] for i in range(len(xs))]) + ridge * np.eye(len(xs))
                 beta[r["_leaf"], k] += np.clip(np.linalg.solve(h, np.array([r[f"b{i}"] for i in range(len(xs))]) - ridge * beta[r["_leaf"], k]), -4, 4)
-    scores = []
-    for k in range(len(classes)):
-        table = lit(beta[:, k, :])
-        scores.append(1 / (1 + F.exp(-sum((table[at][i] * t for i, t in enumerate(x)), F.lit(0.0)))))
-    return Model(classes, F.array(*scores))
+    tables = [lit(beta[:, k, :]) for k in range(len(classes))]
+    return Model(classes, let(at, lambda leaf: F.array(*[1 / (1 + F.exp(-sum((t[leaf][i] * v for i, v in enumerate(x)), F.lit(0.0)))) for t in tables])))
 
 
 def alternating_tree(df: DataFrame, columns: list[str], label: str, rounds: int = 10) -> Model:
@@ -367,11 +363,11 @@ def alternating_tree(df: DataFrame, columns: list[str], label: str, rounds: int
         if best is None:
             break
         (_, p, a, i), yes, no = best
-        test = F.coalesce(codings[a].code() == i if codings[a].labels is not None else codings[a].code() <= i, F.lit(False))
+        test = F.coalesce(codings[a].test("=" if codings[a].labels is not None else "<=", i), F.lit(False))
         up, down = (0.5 * math.log((s[1] + 1) / (s[0] + 1)) for s in (yes, no))
         total = total + F.when(conditions[p] & test, F.lit(up)).when(conditions[p], F.lit(down)).otherwise(F.lit(0.0))
         conditions += [conditions[p] & test, conditions[p] & ~test]
-    return Model(classes, F.array(1 / (1 + F.exp(2 * total)), 1 / (1 + F.exp(-2 * total))))
+    return Model(classes, let(total, lambda t: F.array(1 / (1 + F.exp(2 * t)), 1 / (1 + F.exp(-2 * t)))))
 
 
 def class_counts_two(data: DataFrame, plus: Column) -> tuple[float, float]:

@@ -484,7 +484,7 @@ def affine_gap_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all() -> None:
     """Import the modules that register more queries."""
-    from . import catalog_linkage, catalog_more, catalog_rows  # noqa: F401
+    from . import catalog_learners, catalog_linkage, catalog_more, catalog_rows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
