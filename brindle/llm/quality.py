@@ -95,14 +95,14 @@ def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds: int = 4)
     rank = min(rank, d)
     if not n:
         return Model(idf, np.zeros((d, rank), np.float32), np.zeros((0, rank), np.float32), labels.astype("float64"))
-    a = rows * idf
+    a = rows.astype(np.float32) * idf
     z = a @ np.random.default_rng(0).normal(size=(d, min(rank + 16, d))).astype(np.float32)
     for _ in range(rounds):
         z = a @ (a.T @ np.linalg.qr(z)[0])
     basis = np.linalg.svd(np.linalg.qr(z)[0].T @ a, full_matrices=False)[2][:rank].T.astype(np.float32)
-    model = Model(idf, basis, np.zeros((0, rank), np.float32), labels.astype("float64"))
-    model.vectors = model.latent(rows)
-    return model
+    vectors = a @ basis
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return Model(idf, basis, vectors, labels.astype("float64"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +120,12 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[n
 
     kind = dict(docs.dtypes)["doc_id"]
     # Ids may repeat in the documents, without a bound: the bound holds for rows too, in an order that reruns share.
-    got = texts.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, terms binary").orderBy("doc_id", "terms").limit(bound).collect()
-    rows = np.array([np.frombuffer(r["terms"], "float16") for r in got], dtype=np.float32).reshape(len(got), TERMS)
-    return rows, np.array([r["quality"] for r in got], dtype="float64")
+    got = texts.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, terms binary").orderBy("doc_id", "terms").limit(bound)
+    rows, marks = np.zeros((bound, TERMS), "float16"), []
+    for r in got.select("quality", "terms").toLocalIterator():
+        rows[len(marks)] = np.frombuffer(r["terms"], "float16")
+        marks.append(r["quality"])
+    return rows[: len(marks)], np.array(marks, dtype="float64")
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -29,6 +29,8 @@ from .bpe import texts_of
 
 #: Radius, fingerprints of a tile, fingerprints that a shard holds on average before more blocks are cut.
 RADIUS, TILE, SHARD = 3, 16384, 1024
+#: Rounds of joining groups before the order of nodes is varied.
+PLAIN = 6
 #: Rows of whole shards that a task searches at once, and pairs of query and node.
 AT_ONCE, PAIRS = 100_000, 300_000
 
@@ -219,16 +221,17 @@ def edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
 def contracted(links: DataFrame) -> DataFrame:
     """node, root for every end of ``links`` (a, b; long): one root for each connected group.
 
-    Each round hangs every node from its least neighbour and relabels the edges.  Every other round compares numbers with
-    some bits flipped, other ones each time: stars need one round of the plain order, and chains of rising numbers, which
-    would shorten by one node a round, about halve in the others.  So rounds grow with the logarithm of a group's size.
+    Each round hangs every node from its least neighbour and relabels the edges, which ends stars and most other groups in a
+    few rounds.  After ``PLAIN`` rounds every other one compares numbers with some bits flipped, other ones each time:
+    chains of rising numbers, which would shorten by one node a round, about halve in these.  So rounds grow with the
+    logarithm of a group's size.
     """
     links = links.where("a <> b").distinct().checkpoint()
     roots: DataFrame | None = None
     turn = 0
     while True:
         turn += 1
-        mask = F.lit(0 if turn % 2 else (turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63))
+        mask = F.lit(0 if turn <= PLAIN or turn % 2 else (turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63))
         least = F.least(F.min(F.col("b").bitwiseXOR(mask)), F.first(F.col("a").bitwiseXOR(mask)))
         ends = links.union(links.select("b", "a")).groupBy("a").agg(least.bitwiseXOR(mask).alias("to")).withColumnRenamed("a", "node")
         ends = ends.checkpoint()
