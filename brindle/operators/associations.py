@@ -33,8 +33,8 @@ def pair_rules(baskets: DataFrame, basket: str, item: str, least: int, confidenc
     share = F.col("nb") / F.col("total")
     return j.where(conf >= confidence).select(
         "antecedent", "consequent", "n", F.round(conf, 6).alias("confidence"), F.round(conf / share, 6).alias("lift"),
-        F.round(F.col("n") / F.col("total") - F.col("na") * F.col("nb") / (F.col("total") * F.col("total")), 6).alias("leverage"),
-        F.round(F.col("na") * (F.col("total") - F.col("nb")) / (F.col("total") * (F.col("na") - F.col("n") + 1)), 6).alias("conviction"),
+        F.round(F.col("n") / F.col("total") - F.col("na") / F.col("total") * F.col("nb") / F.col("total"), 6).alias("leverage"),
+        F.round(F.col("na").cast("double") * (F.col("total") - F.col("nb")) / F.col("total") / (F.col("na") - F.col("n") + 1), 6).alias("conviction"),
     )
 
 

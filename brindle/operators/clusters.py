@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import cut
 from .transforms import ranges_of
 
 
@@ -24,7 +25,7 @@ def nearest(df: DataFrame, columns: list[str], centres: list[tuple[float, ...]],
 
 def k_means(df: DataFrame, columns: list[str], k: int, key: str, rounds: int = 10) -> tuple[DataFrame, list[tuple[float, ...]]]:
     """Lloyd's rounds from the k rows of smallest hashed key; each round is one aggregation of k rows."""
-    data = df.dropna(subset=columns)
+    data = cut(df.dropna(subset=columns))
     bounds = ranges_of(data, columns)
     start = data.orderBy(F.md5(F.col(key).cast("string")), key).select(*columns).limit(k).collect()
     centres = [tuple(float(x) for x in r) for r in start]
@@ -41,7 +42,7 @@ def k_means(df: DataFrame, columns: list[str], k: int, key: str, rounds: int = 1
 
 def farthest_first(df: DataFrame, columns: list[str], k: int, key: str) -> list[tuple[float, ...]]:
     """Centres: the row of smallest key, then k - 1 times the row farthest from all centres (smallest key on ties)."""
-    data = df.dropna(subset=columns)
+    data = cut(df.dropna(subset=columns))
     bounds = ranges_of(data, columns)
     row = data.agg(F.min_by(F.struct(*columns), key)).first()[0]
     centres = [tuple(float(x) for x in row)]

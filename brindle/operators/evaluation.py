@@ -15,9 +15,9 @@ def summary(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     c = confusion(df, actual, predicted)
     rows = c.groupBy(F.col("actual").alias("k")).agg(F.sum("n").alias("r"))
     cols = c.groupBy(F.col("predicted").alias("k")).agg(F.sum("n").alias("c"))
-    chance = rows.join(cols, "k").agg(F.sum(F.col("r") * F.col("c")).alias("chance"))
+    chance = rows.join(cols, "k").agg(F.sum(F.col("r").cast("double") * F.col("c")).alias("chance"))
     t = c.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
-    expected = F.coalesce(F.col("chance"), F.lit(0)) / (F.col("total") * F.col("total"))
+    expected = F.coalesce(F.col("chance"), F.lit(0.0)) / F.col("total") / F.col("total")
     accuracy = F.col("right") / F.col("total")
     return t.join(F.broadcast(chance)).select("total", F.round(accuracy, 6).alias("accuracy"), F.round(F.when(expected < 1, (accuracy - expected) / (1 - expected)).otherwise(F.lit(1.0)), 6).alias("kappa"))
 
@@ -74,8 +74,8 @@ def roc_area(df: DataFrame, positive: str, score: str) -> DataFrame:
     c = threshold_counts(df, positive, score)
     per = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.col(score).cast("double").alias("_t")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
     j = c.join(per, F.col("threshold") == F.col("_t"))
-    good = F.sum((F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2.0))
-    return j.agg(F.round(good / (F.max("tp") * F.max("fp")), 6).alias("auc"))
+    good = F.sum((F.col("n") - F.col("p")).cast("double") * (F.col("tp") - F.col("p") / 2.0))
+    return j.agg(F.round(good / F.max("tp") / F.max("fp"), 6).alias("auc"))
 
 
 def paired_test(df: DataFrame, scheme: str, run: list[str], value: str, first: str, second: str, test_share: float = 0.0) -> DataFrame:
@@ -95,4 +95,4 @@ def paired_test(df: DataFrame, scheme: str, run: list[str], value: str, first: s
 def averaged(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Means and sample deviations of result rows by key."""
     aggs = [f(v).alias(f"{n}_{v}") for v in values for n, f in (("avg", F.avg), ("dev", F.stddev_samp))]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_results"), *[F.round(a, 6) if False else a for a in aggs])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_results"), *aggs)

@@ -45,7 +45,7 @@ def chi_squared(df: DataFrame, attributes: list[str], label: str) -> DataFrame:
     cols = counts.groupBy("attribute", "label").agg(F.sum("n").alias("c"))
     totals = counts.groupBy("attribute").agg(F.sum("n").alias("total"), F.count_distinct(F.coalesce("value", F.lit("\x00"))).alias("nr"), F.count_distinct("label").alias("nc"))
     cells = counts.join(rows.withColumnRenamed("value", "_v"), (counts["attribute"] == rows["attribute"]) & F.col("value").eqNullSafe(F.col("_v"))).drop(rows["attribute"]).join(cols, ["attribute", "label"])
-    s = cells.groupBy("attribute").agg(F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s")).join(totals, "attribute")
+    s = cells.groupBy("attribute").agg(F.sum(F.col("n").cast("double") / F.col("r") * F.col("n") / F.col("c")).alias("s")).join(totals, "attribute")
     chi = F.col("total") * (F.col("s") - 1)
     least = F.least("nr", "nc") - 1
     return s.select("attribute", F.round(chi, 4).alias("chi_squared"), F.round(F.when(least > 0, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("total") * least))).otherwise(F.lit(0.0)), 6).alias("cramers_v"))

@@ -33,14 +33,18 @@ def naive_bayes_counts(df: DataFrame, attributes: list[str], label: str) -> Data
 
 
 def naive_bayes_predict(df: DataFrame, model: DataFrame, attributes: list[str], label: str, key: str, trained: DataFrame | None = None) -> DataFrame:
-    """key, prediction, from log probabilities summed over attributes; priors of ``trained`` (else ``df``) with one added."""
+    """key, prediction, from log probabilities summed over attributes; priors of ``trained`` (else ``df``) with one added.
+
+    Every row has a prediction: a value that the model does not know says nothing.
+    """
     priors = (trained if trained is not None else df).where(F.col(label).isNotNull()).groupBy(label).count()
     k = priors.agg(F.count(F.lit(1)).alias("k"), F.sum("count").alias("n")).first()
     prior = priors.select(F.col(label).cast("string").alias("label"), F.log((F.col("count") + 1) / F.lit(float((k["n"] or 0) + k["k"]))).alias("prior"))
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
     long = df.select(key, F.explode(pairs).alias("x")).select(key, "x.*")
     logs = long.join(model, ["attribute", "value"]).groupBy(key, "label").agg(F.sum(F.log("probability")).alias("score"))
-    total = logs.join(prior, "label").withColumn("score", F.col("score") + F.col("prior"))
+    every = df.select(key).join(F.broadcast(prior))  # one row a label
+    total = every.join(logs, [key, "label"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.col("prior"))
     return total.groupBy(key).agg(F.min_by("label", F.struct(-F.round("score", 9), F.col("label"))).alias("prediction"))
 
 
@@ -55,9 +59,13 @@ def decision_stump(df: DataFrame, column: str, label: str) -> DataFrame:
     """cut, gini: the split of a numeric column with the least weighted impurity.
 
     Counts by distinct value are cumulated with range-partitioned prefix sums, so the rows of a column are never in one
-    task; the smallest cut wins ties.
+    task; the smallest cut wins ties.  Without a row the cut is null; more than 1000 labels are an error.
     """
-    labels = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(1000).collect()]
+    from .columns import labels_of
+
+    labels = labels_of(df, label, 1000)
+    if not labels:
+        return df.sparkSession.createDataFrame([(None, None)], "cut double, gini double")
     counts = df.where(F.col(column).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(*[F.sum((F.col(label) == x).cast("long")).alias(f"c{i}") for i, x in enumerate(labels)])
     from pyspark.sql import Window
 
@@ -125,17 +133,19 @@ def estimator(name: str, **options):
     return kinds[name](**options)
 
 
-def fit_predict(df: DataFrame, method: str, columns: list[str], label: str | None = None, **options) -> DataFrame:
-    """``df`` with ``prediction``: columns are assembled and labels coded; rows with a null among them are skipped."""
+def fit_predict(df: DataFrame, method: str, columns: list[str], label: str | None = None, test: DataFrame | None = None, **options) -> DataFrame:
+    """``test`` (else ``df``) with ``prediction`` of a model of ``df``: columns are assembled and labels coded; rows with a null
+    among the columns are skipped."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    data = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
+    made = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
+    data = made.transform(df)
+    asked = data if test is None else made.transform(test)
     if label is None:
-        return estimator(method, featuresCol="features", **options).fit(data).transform(data).drop("features")
+        return estimator(method, featuresCol="features", **options).fit(data).transform(asked).drop("features")
     if dict(df.dtypes)[label] == "string":
         coder = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(data)
-        data = coder.transform(data)
-        out = estimator(method, featuresCol="features", labelCol="_label", **options).fit(data).transform(data)
+        out = estimator(method, featuresCol="features", labelCol="_label", **options).fit(coder.transform(data)).transform(asked)
         names = F.array(*[F.lit(x) for x in coder.labels])
-        return out.withColumn("prediction", names[F.col("prediction").cast("int")]).drop("features", "_label", "rawPrediction", "probability")
-    return estimator(method, featuresCol="features", labelCol=label, **options).fit(data).transform(data).drop("features", "rawPrediction", "probability")
+        return out.withColumn("prediction", names[F.col("prediction").cast("int")]).drop("features", "rawPrediction", "probability")
+    return estimator(method, featuresCol="features", labelCol=label, **options).fit(data).transform(asked).drop("features", "rawPrediction", "probability")

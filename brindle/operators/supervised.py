@@ -39,7 +39,9 @@ def _entropy_column(parts: list[Column]) -> Column:
 
 def mdl_cuts(df: DataFrame, column: str, label: str) -> list[float]:
     """Cuts between neighbouring values that lower the class entropy by more than describing them costs."""
-    labels = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(1000).collect()]
+    from .columns import labels_of
+
+    labels = labels_of(df, label, 1000)
     if not labels:
         return []
     table = cumulated(df, column, label, labels)

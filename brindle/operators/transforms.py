@@ -130,7 +130,9 @@ def numeric_to_binary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def nominal_to_binary(df: DataFrame, column: str, labels: list[str] | None = None) -> DataFrame:
-    labels = labels or [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(10_000).collect()]
+    from .columns import labels_of
+
+    labels = labels or labels_of(df, column)
     return df.withColumns({f"{column}={x}": F.when(F.col(column).isNotNull(), (F.col(column) == x).cast("int")) for x in labels}).drop(column)
 
 
@@ -162,7 +164,7 @@ def class_order(df: DataFrame, column: str, ascending: bool = True) -> DataFrame
     counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
     order = [F.col("count").asc() if ascending else F.col("count").desc(), F.col(column)]
     codes = numbered(counts, *order, name="code").select(F.col(column).alias("_v"), "code")
-    return df.join(F.broadcast(codes) if counts.count() < 100_000 else codes, F.col(column) == F.col("_v"), "left").drop("_v")
+    return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def remove_useless(df: DataFrame, columns: list[str], most_varied: float = 99.0) -> DataFrame:

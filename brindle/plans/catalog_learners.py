@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bayes, functions, lazy, meta, models, rules, trees
+from ..operators import bayes, functions, lazy, learners, meta, models, rules, trees
 from ..operators.models import Model
 from .catalog import QUERIES, ORACLE, query, table
 
@@ -184,6 +184,12 @@ def regression_by_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(v, 4) + 0.0) for k, v in found.items() if abs(v) > 1e-6], "term string, coefficient double")
 
 
+@query("SELECT '(intercept)' AS term, 10.0::DOUBLE AS coefficient UNION ALL SELECT 'q', 3.0 UNION ALL SELECT 's', -2.0")
+def linear_regression_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = learners.linear_regression(_line(spark, sf_dir), ["q", "s"], "t")
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in found.items()], "term string, coefficient double")
+
+
 @query("SELECT '(intercept)' AS term, 10.0::DOUBLE AS coefficient UNION ALL SELECT 'q', 3.0 UNION ALL SELECT 's', -2.0")
 def pace_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = functions.pace_regression(_line(spark, sf_dir), ["q", "s"], "t")

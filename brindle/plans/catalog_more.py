@@ -69,13 +69,24 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(p, p.where("p_partkey % 20 = 0"), ["p_size", "p_retailprice"], "p_partkey", 5)
 
 
-@query()
+@query("""WITH b AS (SELECT min(p_size) AS a, max(p_size) - min(p_size) AS w, min(p_retailprice) AS c, max(p_retailprice) - min(p_retailprice) AS v FROM part),
+d AS (SELECT q.p_partkey AS query, t.p_partkey AS neighbour, t.p_brand AS label, round(sqrt(((q.p_size - t.p_size) / w) ^ 2 + ((q.p_retailprice - t.p_retailprice) / v) ^ 2), 9) AS d FROM part q, part t, b WHERE q.p_partkey % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM d), s AS (SELECT query, label, count(*) AS n FROM r WHERE rank <= 7 GROUP BY 1, 2)
+SELECT query, label AS prediction FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1""")
 def neighbour_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
     return neighbours.classify(p, p.where("p_partkey % 20 = 0"), ["p_size", "p_retailprice"], "p_partkey", "p_brand", 7)
 
 
-@query()
+_NB = " UNION ALL ".join(f"SELECT '{a}' AS attribute, {a}::VARCHAR AS value, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY 2, 3" for a in _CLASS["attributes"])
+
+
+@query(f"""WITH c AS ({_NB}), v AS (SELECT attribute, count(DISTINCT value) AS k FROM c GROUP BY 1), t AS (SELECT attribute, label, sum(n) AS t FROM c GROUP BY 1, 2), g AS (SELECT DISTINCT attribute, value FROM c),
+m AS (SELECT attribute, value, label, round((coalesce(n, 0) + 1) / (t + k), 8) AS p FROM g JOIN t USING (attribute) JOIN v USING (attribute) LEFT JOIN c USING (attribute, value, label)),
+o AS (SELECT l_returnflag AS label, ln((count(*) + 1) / ((SELECT count(*) FROM lineitem) + (SELECT count(DISTINCT l_returnflag) FROM lineitem))) AS p FROM lineitem GROUP BY 1),
+r AS (SELECT l_linestatus AS a, l_linenumber AS b, l_discount AS d, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT a, b, d, n, o.label, round(o.p + ln(x.p) + ln(y.p) + ln(z.p), 9) AS s FROM r, o JOIN m x ON x.label = o.label AND x.attribute = 'l_linestatus' JOIN m y ON y.label = o.label AND y.attribute = 'l_linenumber' JOIN m z ON z.label = o.label AND z.attribute = 'l_discount' WHERE x.value = a AND y.value = b::VARCHAR AND z.value = d::VARCHAR)
+SELECT label AS prediction, sum(n)::BIGINT AS n FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a, b, d ORDER BY s DESC, label) = 1) GROUP BY 1""")
 def naive_bayes_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir).withColumn("k", F.monotonically_increasing_id())
     model = learners.naive_bayes_counts(items, _CLASS["attributes"], _CLASS["label"])
@@ -142,7 +153,18 @@ def discretize_equal_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.equal_frequency(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", 2).select("s_suppkey", "bin")
 
 
-@query()
+def _projection() -> str:
+    """SQL of two sums whose signs are drawn as the operator draws them."""
+    import random
+
+    rng, out = random.Random(42), []
+    for k in (1, 2):
+        signs = [(c, rng.choice((1, 0, 0, 0, 0, -1))) for c in ("l_quantity", "l_tax", "l_discount")]
+        out.append(" + ".join(["0.0::DOUBLE", *[f"{c} * ({x}) * sqrt(3)" for c, x in signs if x]]) + f" AS k{k}")
+    return ", ".join(out)
+
+
+@query(f"SELECT l_orderkey, l_quantity, l_tax, l_discount, {_projection()} FROM lineitem")
 def random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.random_projection(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_discount"), ["l_quantity", "l_tax", "l_discount"], 2)
 
@@ -177,7 +199,7 @@ def least_expected_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervised.least_cost(items, {"F": "pf", "O": "po"}, {("F", "O"): 5.0, ("O", "F"): 1.0}).select("l_orderkey", "l_linenumber", "prediction")
 
 
-@query()
+@query("SELECT 0 AS i, (max(l_quantity) FILTER (l_quantity <= 20) + min(l_quantity) FILTER (l_quantity > 20)) / 2 AS cut FROM lineitem")
 def entropy_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_quantity") > 20).cast("string").alias("y"))
     return spark.createDataFrame([(i, round(c, 4)) for i, c in enumerate(supervised.mdl_cuts(items, "l_quantity", "y"))], "i int, cut double")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,3 +29,25 @@ def grid_clusters(spark: SparkSession, clusters: int, rows: int, radius: float =
     c = F.floor(F.col("id") / rows).cast("int")
     df = spark.range(clusters * rows).withColumn("cluster", c)
     return df.select("cluster", *[(F.floor(F.col("cluster") / side**i) % side * distance + F.randn(seed * 100 + i) * radius).alias(f"x{i + 1}") for i in range(dimensions)])
+
+
+@dataclass(frozen=True)
+class Test:
+    """One test of a generated rule: a column against a value by =, !=, <, <=, > or >=."""
+
+    column: str
+    operator: str
+    value: object
+
+    def predicate(self) -> Column:
+        c, v = F.col(self.column), F.lit(self.value)
+        made = {"=": c == v, "!=": c != v, "<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[self.operator]
+        return F.coalesce(made, F.lit(False))
+
+
+def rule(tests: list[Test]) -> Column:
+    """Whether all tests hold; missing values fail."""
+    out = F.lit(True)
+    for t in tests:
+        out = out & t.predicate()
+    return out

@@ -36,3 +36,47 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
     df.write.options(**options).jdbc(url, table, mode=mode)
+
+
+def write_c45(df: DataFrame, names: str, data: str, label: str, most_labels: int = 1000) -> None:
+    """A .names folder with the classes and one 'attribute: kind.' a line, and a .data folder of rows, the class last."""
+    from ..operators.columns import labels_of
+    from ..operators.models import numeric
+
+    others = [c for c in df.columns if c != label]
+    say = lambda c: "continuous" if numeric(df, c) else ", ".join(labels_of(df, c, most_labels))
+    lines = [", ".join(labels_of(df.select(F.col(label).cast("string").alias(label)), label, most_labels)) + ".", *[f"{c}: {say(c)}." for c in others]]
+    df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(names)
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("?")) for c in [*others, label]]
+    df.select(F.concat(F.concat_ws(",", *cells), F.lit(".")).alias("value")).write.text(data)
+
+
+def write_serialized(df: DataFrame, path: str, relation: str = "data", label: str | None = None) -> None:
+    """A whole dataset as Parquet, with its relation name and class column in the schema's metadata."""
+    first = df.columns[0]
+    meta = {"relation": relation, "label": label or ""}
+    df.withColumn(first, F.col(first).alias(first, metadata=meta)).write.parquet(path)
+
+
+def read_serialized(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def serialized_info(df: DataFrame) -> tuple[str, str | None]:
+    """The relation name and class column that were written with a dataset."""
+    meta = df.schema[0].metadata
+    return meta.get("relation", "data"), meta.get("label") or None
+
+
+def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], sparse: bool = False) -> DataFrame:
+    """The result of an SQL text over named tables, numbers as doubles; ``sparse`` drops columns that are all zero."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    out = spark.sql(sql)
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "decimal")
+    out = out.select(*[(F.col(f"`{c}`").cast("double") if t.split("(")[0] in kinds else F.col(f"`{c}`")).alias(c) for c, t in out.dtypes])
+    if sparse:
+        numbers = [c for c, t in out.dtypes if t == "double"]
+        some = out.agg(*[F.max(F.coalesce(F.abs(F.col(f"`{c}`")), F.lit(1.0))).alias(f"m{i}") for i, c in enumerate(numbers)]).first()
+        out = out.drop(*[c for i, c in enumerate(numbers) if some[f"m{i}"] == 0])
+    return out
