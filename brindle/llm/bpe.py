@@ -28,7 +28,9 @@ KEPT_WORDS, KEPT_BYTES = 600_000, 48 << 20
 CHUNK = 1024
 SPAN = 12
 #: Words of these letters are normalised the same way letter by letter; a run of marks after them is a pre-token.
-LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)"
+#: Letters and marks of every line of a text; both are empty for a line that is something else.
+LINES = re.compile(rf"^(?:{LETTERS}|.+)$", re.M)
 NEVER = np.int64(1) << np.int64(40)
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -60,13 +62,32 @@ class Merger:
         self.last = np.array([vocab.get(letter[b] + end, -1) for b in range(256)], dtype="int64")
         keys = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], dtype="int64")
         self.made = np.array([vocab[x + y] for x, y in pairs], dtype="int64")
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype("int64")
+        #: Hash tables of pairs and ranks; what finds its place taken goes to the next, smaller one.
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        left, bits = np.arange(len(keys)), max(4, len(keys).bit_length() + 2)
+        while len(left):
+            at = self._place(keys[left], bits)
+            _, first = np.unique(at, return_index=True)
+            held, ranks = np.full(1 << bits, -1, "int64"), np.full(1 << bits, NEVER)
+            held[at[first]], ranks[at[first]] = keys[left[first]], left[first]
+            self.tables.append((bits, held, ranks))
+            left, bits = np.delete(left, first), max(4, bits - 2)
+
+    @staticmethod
+    def _place(key: np.ndarray, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.view("uint64") * np.uint64(0x9E3779B97F4A7C15 + 2 * bits) >> np.uint64(64 - bits)).view("int64")
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+        at = self._place(key, self.tables[0][0])
+        out = np.where(self.tables[0][1][at] == key, self.tables[0][2][at], NEVER)
+        for bits, held, ranks in self.tables[1:]:
+            miss = np.flatnonzero(out == NEVER)
+            at = self._place(key[miss], bits)
+            hit = held[at] == key[miss]
+            out[miss[hit]] = ranks[at[hit]]
+        return out
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         size = np.fromiter(map(len, words), "int64", len(words))
@@ -122,6 +143,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         self.merger = Merger(path)
         self.marks: dict[str, bytes] = {"": b""}
         mark = self.tokenizer.encode(" \x00 ", add_special_tokens=False).ids
@@ -131,25 +153,21 @@ class WordEncoder:
 
     def _learn(self, words: Iterable[bytes]) -> None:
         """Encode new words: plain letters by merging many at once, all others by the library."""
-        index: dict[str, int] = {}
-        own: list[bytes] = []
-        at: list[int] = []
-        after: list[str] = []
-        others: dict[str, bytes] = {}
-        match = LETTERS.fullmatch
-        for w in words:
-            if m := match(text := w.decode()):
-                letters, mark = m.groups()
-                at.append(index.setdefault(letters.lower(), len(index)))
-                own.append(w)
-                after.append(mark)
-            else:
-                others[text] = w
+        new = list(words)
+        parts = LINES.findall(b"\n".join(new).decode())  # a word has no line end
+        plain = [i for i, (x, _) in enumerate(parts) if x]
+        lower = "\n".join([parts[i][0] for i in plain]).lower().split("\n") if plain else []
+        after = [parts[i][1] for i in plain]
         known, marks = self.words, self.marks
+        if len(self.letters) > KEPT_WORDS:
+            self.letters = dict(islice(self.letters.items(), KEPT_WORDS // 2))
+        letters = self.letters
+        fresh = list(set(lower).difference(letters))
+        letters.update(zip(fresh, self.merger.encode([x.encode() for x in fresh])))
         for mark, ids in self._many(list(set(after).difference(marks))):
             marks[mark] = ids
-        made = self.merger.encode([x.encode() for x in index])
-        known.update(zip(own, [made[i] + marks[x] if x else made[i] for i, x in zip(at, after)]))
+        known.update(zip([new[i] for i in plain], [letters[x] + marks[m] if m else letters[x] for x, m in zip(lower, after)]))
+        others = {new[i].decode(): new[i] for i, (x, _) in enumerate(parts) if not x}
         for text, ids in self._many(list(others)):
             known[others[text]] = ids
         if len(marks) > 10_000:
