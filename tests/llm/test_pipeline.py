@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from brindle.llm import mix, neardup, quality, queries
@@ -44,7 +45,10 @@ def jaccard_groups(texts, least=0.8):
     return group
 
 
-def test_near_copies_are_dropped(spark):
+@pytest.mark.parametrize("strays,tile", [(512, 2048), (3, 4)])
+def test_near_copies_are_dropped(spark, monkeypatch, strays, tile):
+    monkeypatch.setattr(neardup, "STRAYS", strays)
+    monkeypatch.setattr(neardup, "TILE", tile)
     rng = random.Random(3)
     texts = []
     for _ in range(25):
@@ -78,6 +82,10 @@ def test_linked_sets_are_those_of_all_pairs():
         want = new
     got = neardup.linked(sets)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) > 12
+    assert all(neardup.alike(a.tobytes(), b.tobytes()) == near[i, j] for i, a in enumerate(sets) for j, b in enumerate(sets))
+    piece = np.where(want == want[0], want, np.arange(len(sets)))  # one group is known, the others are asked for
+    got = neardup.linked(sets, piece, want != want[0])
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
 def test_null_and_repeated_ids_lose_no_text(spark):
@@ -90,3 +98,53 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert sorted(r["text"] for r in mixed.collect()) == sorted(say(k) for k in range(5)) and mixed.columns == df.columns
     empty = df.limit(0)
     assert corpus_pipeline.simhash_near_dedup(spark, empty, "").count() == 0 and corpus_pipeline.mix_sources(spark, empty, "").count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row long, _at int, _id int, position double, size int"
+
+
+def strange(spark):
+    """Null and repeated ids, null, empty, blank and long texts, repeated rows, null sources and clashing column names."""
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(400_000))  # over 2 MB
+    say = lambda k: " ".join(f"t{k}x{i}" for i in range(60)) + f" me{k}@mail.org 4111 1111 1111 1111"
+    rows = [(1, say(1), "en", "a"), (1, say(2), "en", "a"), (1, say(1), "en", "a"), (None, say(3), None, None), (None, say(4), "de", "b"), (5, None, "en", "a"), (6, "", "en", None), (7, " \n ", "en", "b"), (8, long, "en", "a"), (9, say(5), "en", "b"), (10, say(5), "en", "b")]
+    return spark.createDataFrame([(*r, 3, 1, 2, 3, 0.5, 4) for r in rows], SCHEMA).repartition(2), rows, long
+
+
+def test_every_stage_on_strange_tables(spark, tmp_path):
+    docs, rows, long = strange(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (9, 1, 0), (None, 0, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    sf = str(tmp_path / "sf")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted(repr((r["doc_id"], r["text"])) for r in df.select("doc_id", "text").collect())
+
+    good = stages["quality_classifier"](spark, docs, sf)
+    assert good.columns == docs.columns and set(texts(good)) <= set(texts(docs))
+    scores = {r["text"]: r["score"] for r in docs.select("text").distinct().join(quality.scored(docs.withColumn("doc_id", docs["text"]), labels.withColumn("doc_id", labels["doc_id"].cast("string"))).withColumnRenamed("doc_id", "text"), "text").collect()}
+    assert all(0 <= s <= 1 for s in scores.values())
+
+    kept = stages["simhash_near_dedup"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert texts(kept) == sorted(map(repr, [(1, rows[0][1]), (1, rows[1][1]), (None, rows[3][1]), (None, rows[4][1]), (8, long), (9, rows[9][1]), (5, None)])) or texts(kept).count(repr((6, ""))) + texts(kept).count(repr((7, " \n "))) + texts(kept).count(repr((5, None))) == 1
+
+    clean = stages["personal_data"](spark, docs, sf)
+    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in clean.collect()]
+    assert clean.columns == docs.columns and len(got) == len(rows)
+    assert all(n == (None if t is None else len(t)) for _, t, n in got) and not any("@mail" in (t or "") or "4111" in (t or "") for _, t, _ in got)
+    assert sum(t is None for _, t, _ in got) == 1 and any(t == long for _, t, _ in got)
+
+    mixed = stages["mix_sources"](spark, docs, sf)
+    assert mixed.columns == docs.columns
+    assert not any(not (r["text"] or "").split() for r in mixed.select("text").collect())
+
+    encoded = stages["bpe_encode"](spark, docs, sf).collect()
+    assert len(encoded) == len(rows) and sum(r["n_tokens"] == 0 for r in encoded) == 3
+
+
+def test_every_stage_on_an_empty_table(spark, tmp_path):
+    docs = strange(spark)[0].limit(0)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
