@@ -106,8 +106,11 @@ def covered(df: DataFrame, key: str, label: str, blockers: dict[str, Column]) ->
 def learn_cover(df: DataFrame, key: str, label: str, blockers: dict[str, Column], epsilon: int = 0, most_negatives: float = float("inf"), least_cover: float = 1e-3, damping: float = 50.0) -> list[str]:
     """Greedy set cover: the blocker with the most new true pairs for its negatives (plus ``damping``), until at most
     ``epsilon`` true pairs are left, or none gains.  Blockers above ``most_negatives`` are left out; ties go by name."""
-    cost = {r["blocker"]: r["negatives"] for r in coverage(df, key, label, blockers).collect()}
-    left = cut(covered(df, key, label, {n: c for n, c in blockers.items() if cost.get(n, 0) <= most_negatives}))
+    cost = {r["blocker"]: r["negatives"] for r in coverage(df, key, label, blockers).collect()} if blockers else {}
+    allowed = {n: c for n, c in blockers.items() if cost.get(n, 0) <= most_negatives}
+    if not allowed:
+        return []
+    left = cut(covered(df, key, label, allowed))
     total = true_pairs(df, key, label).count()
     chosen: list[str] = []
     found = 0

@@ -106,8 +106,7 @@ def affine_distances(a: list[str], b: list[str], match: float = -5.0, mismatch:
         new[:, 1:] = before[:, :-1] + np.where(x[:, i - 1 : i] == y, match, mismatch)
         new_across = np.full((k, width + 1), far)
         for j in range(1, width + 1):
-            new_across[:, j] = np.minimum(np.minimum(new[:, j], new_up[:, j - 1]) + gap_open, new_across[:, j - 1] + gap_extend)
-        # A gap across opens after the match of the same cell.
+            new_across[:, j] = np.minimum(np.minimum(new[:, j - 1], new_up[:, j - 1]) + gap_open, new_across[:, j - 1] + gap_extend)
         best, up, across = new, new_up, new_across
         out = np.where(n == i, end(), out)
     return np.where(n + m > 0, out / np.maximum(n + m, 1), 0.0)
@@ -176,16 +175,16 @@ def cosine_classes(df: DataFrame, key: str, text: str, least: float) -> DataFram
     """key, class_id, links: the class of records with equal tf-idf vectors (its smallest key), and how many other records
     are at a cosine of ``least`` or more, copies included.
 
-    Records without weight (no token, or only tokens that every record has) are in no class and left out.  Two unit
-    vectors at ``least`` share a token outside the part of either whose squares sum to less than ``least`` squared, so
-    each class is indexed by its heaviest tokens alone; the cosine is then taken over all tokens.
+    Records without weight (no token, or only tokens that every record has) are in no class and left out.  In an order of
+    tokens that all classes share (rarest first), the first token that two unit vectors at ``least`` have in common cannot
+    lie in the rest of either, where squares sum to less than ``least`` squared; so each class is indexed by the tokens
+    before that rest alone.  The cosine is then taken over all tokens.
     """
     w = token_weights(df, key, text)
-    vectors = w.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("token", F.round("weight", 12).alias("w")))).alias("v"))
+    vectors = w.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("df", "token", F.round("weight", 12).alias("w")))).alias("v"))
     classes = vectors.groupBy("v").agg(F.min("_k").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    heavy = F.expr("array_sort(transform(v, x -> struct(x.w AS w, x.token AS token)), (p, q) -> CASE WHEN p.w <> q.w THEN IF(p.w > q.w, -1, 1) WHEN p.token < q.token THEN -1 WHEN p.token > q.token THEN 1 ELSE 0 END)")
-    rest = F.expr(f"filter(transform(h, (x, i) -> struct(x.token AS token, aggregate(slice(h, i + 1, size(h)), 0D, (s, y) -> s + y.w * y.w) AS rest)), x -> x.rest >= {least * least - 1e-9!r}D)")
-    indexed = classes.withColumn("h", heavy).withColumn("p", rest)
+    rest = F.expr(f"filter(transform(v, (x, i) -> struct(x.token AS token, aggregate(slice(v, i + 1, size(v)), 0D, (s, y) -> s + y.w * y.w) AS rest)), x -> x.rest >= {least * least - 1e-9!r}D)")
+    indexed = classes.withColumn("p", rest)
     a = indexed.select(F.col("class_id").alias("a"), F.explode("p.token").alias("token"))
     met = a.join(a.withColumnRenamed("a", "b"), "token").where("a < b").select("a", "b").distinct()
     flat = classes.select("class_id", F.explode("v").alias("x")).select("class_id", "x.token", "x.w")

@@ -32,7 +32,7 @@ def relief(df: DataFrame, columns: list[str], label: str, key: str, k: int = 10,
     parts: DataFrame | None = None
     for y in sorted(counts):
         # One more neighbour, as a row of the class finds itself.
-        near = nearest(rows.where(F.col(label).cast("string") == y), asked, columns, key, k + 1).where("query <> neighbour")
+        near = nearest(rows.where(F.col(label).cast("string") == y), asked, columns, key, k + 1, bounds).where("query <> neighbour")
         w = Window.partitionBy("query").orderBy("rank")
         near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("query", "neighbour", F.lit(y).alias("_y"))
         parts = near if parts is None else parts.unionByName(near)

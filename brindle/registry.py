@@ -44,10 +44,12 @@ class Updateable(Protocol):
 
 _TABLES: dict[str, dict[str, Any]] = {}
 _LOADED: set[str] = set()
+_READY: list[bool] = []
 
 
 def register(kind: str, name: str, value: Any) -> Any:
     """Adds a value; a name that is taken is an error."""
+    _load()
     table = _TABLES.setdefault(kind, {})
     if name in table:
         raise ValueError(f"{kind} {name} is there already")
@@ -60,7 +62,8 @@ def plugin(kind: str, name: str) -> Callable[[Any], Any]:
 
 
 def _load() -> None:
-    if not _TABLES.get("scalar"):
+    if not _READY:
+        _READY.append(True)
         _own()
     for module in filter(None, (m.strip() for m in os.environ.get("BRINDLE_PLUGINS", "").split(","))):
         if module not in _LOADED:

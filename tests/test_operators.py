@@ -195,7 +195,7 @@ def test_tails_and_tables():
     assert tables.f_tail(4.9646027437307145, 1, 10) == pytest.approx(0.05, abs=1e-9)
     assert tables.normal_quantile(0.975) == pytest.approx(1.959963984540054, abs=1e-9)
     t = [[10, 20], [30, 5]]
-    assert tables.chi_squared(t) == pytest.approx(19.2489, abs=1e-3) > tables.chi_squared(t, yates=True)
+    assert tables.chi_squared(t) == pytest.approx(18.72619, abs=1e-3) and tables.chi_squared(t, yates=True) < tables.chi_squared(t)
     assert tables.reduced([[1, 0], [2, 0]]).shape == (2, 1) and tables.tau([[5, 0], [0, 5]]) == pytest.approx(1)
     assert tables.gain_ratio([[5, 0], [0, 5]]) == tables.symmetrical_uncertainty([[5, 0], [0, 5]]) == pytest.approx(1) and tables.cochran([[50, 50], [50, 50]])
     assert tables.conditional_on_columns([[5, 5], [5, 5]]) == pytest.approx(1) and tables.cramers_v([[5, 0], [0, 5]]) == pytest.approx(1)
