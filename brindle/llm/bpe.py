@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from ._common import batches_of, ready
 
-#: Words and bytes of chunks that a worker keeps.
-KEPT_WORDS, KEPT_BYTES = 600_000, 48 << 20
+#: Words, their lower-case letters and bytes of chunks that a worker keeps.
+KEPT_WORDS, KEPT_LETTERS, KEPT_BYTES = 400_000, 200_000, 32 << 20
 #: Chunks have this many bytes on average, and a quarter of it at least.
 CHUNK = 1024
 SPAN = 12
@@ -159,8 +159,8 @@ class WordEncoder:
         lower = "\n".join([parts[i][0] for i in plain]).lower().split("\n") if plain else []
         after = [parts[i][1] for i in plain]
         known, marks = self.words, self.marks
-        if len(self.letters) > KEPT_WORDS:
-            self.letters = dict(islice(self.letters.items(), KEPT_WORDS // 2))
+        if len(self.letters) > KEPT_LETTERS:
+            self.letters = dict(islice(self.letters.items(), KEPT_LETTERS // 2))
         letters = self.letters
         fresh = list(set(lower).difference(letters))
         letters.update(zip(fresh, self.merger.encode([x.encode() for x in fresh])))
