@@ -22,17 +22,27 @@ def plain(v):
     return v
 
 
+#: Modules whose queries learn a concept, for which the smallest tables have too few rows.
+LARGER = ("catalog_learners", "catalog_analysis", "catalog_linkage")
+
+
+def folder(name):
+    return "/root/testdata/sf0.01" if catalog.queries()[name].__module__.endswith(LARGER) else "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
-def duck(sf):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    return con
+def ducks():
+    out = {}
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.001"):
+        out[sf] = duckdb.connect()
+        for t in TABLES:
+            out[sf].sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return out
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
-def test_matches_sql(spark, duck, sf, name):
-    df = catalog.queries()[name](spark, sf)
+def test_matches_sql(spark, ducks, name):
+    df, duck = catalog.queries()[name](spark, folder(name)), ducks[folder(name)]
     columns = sorted(df.columns)
     ours = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     sql = duck.sql(catalog.oracle_sql()[name])
@@ -43,5 +53,5 @@ def test_matches_sql(spark, duck, sf, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_runs(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).count() > 0
+def test_runs(spark, name):
+    assert catalog.queries()[name](spark, folder(name)).count() > 0
