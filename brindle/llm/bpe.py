@@ -330,3 +330,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, text], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of ``decode`` of ``encode``, in one pass: a task needs one worker and moves the ids once."""
+    spark = ready(docs.sparkSession)
+    batches_of(spark, 512)
+    checked(path)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
+        chunks = ChunkEncoder(words)
+        for b in batches:
+            ids = chunks.encode(texts_of(b.column(1)))
+            text = pa.array([words.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), text], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")

@@ -32,7 +32,7 @@ def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """What op4 returns, for any documents."""
-    rows = bpe.decode(bpe.encode(docs, word_bpe()), word_bpe())
+    rows = bpe.round_trip(docs, word_bpe())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -236,6 +236,8 @@ def test_bpe_equals_the_library(docs, odd, empty, rows):
     for r in bpe.decode(bpe.encode(docs, queries.word_bpe()), queries.word_bpe()).collect():
         ids = t.encode(rows[r["doc_id"]][1] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids) and r["decoded"] == t.decode(ids, skip_special_tokens=False)
+    both = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert both(bpe.round_trip(docs, queries.word_bpe())) == both(bpe.decode(bpe.encode(docs, queries.word_bpe()), queries.word_bpe()))
     assert bpe.encode(odd, queries.word_bpe()).count() == 5 and queries.bpe_digest(empty).count() == 0
 
 
