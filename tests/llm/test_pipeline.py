@@ -127,7 +127,7 @@ def test_every_stage_on_strange_tables(spark, tmp_path):
 
     kept = stages["simhash_near_dedup"](spark, docs, sf)
     assert kept.columns == docs.columns
-    assert texts(kept) == sorted(map(repr, [(1, rows[0][1]), (1, rows[1][1]), (None, rows[3][1]), (None, rows[4][1]), (8, long), (9, rows[9][1]), (5, None)])) or texts(kept).count(repr((6, ""))) + texts(kept).count(repr((7, " \n "))) + texts(kept).count(repr((5, None))) == 1
+    assert texts(kept) == sorted(map(repr, [(1, rows[0][1]), (1, rows[1][1]), (None, rows[3][1]), (None, rows[4][1]), (5, None), (8, long), (9, rows[9][1])]))
 
     clean = stages["personal_data"](spark, docs, sf)
     got = [(r["doc_id"], r["text"], r["n_chars"]) for r in clean.collect()]
