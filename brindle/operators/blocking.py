@@ -1,7 +1,7 @@
 """Blocking predicates: each gives a record a set of keys, and records that share a key are candidates.
 
-What a predicate would cost and find is told from group sizes, so learning a choice of predicates never makes the
-candidate pairs; only true pairs, which are few for each object, are listed.
+What a predicate would cost and find is told from group sizes, so learning a choice of predicates makes neither the
+candidate pairs nor the true ones.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def coverage(df: DataFrame, key: str, label: str, blockers: dict[str, Column]) -
 
     A pair that shares several keys of a blocker counts once for each of them, as in the block table.
     """
-    b = blocks(df, key, blockers).join(df.select(key, F.col(label).alias("_y")), key)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("blocker"), k.alias("keys")) for n, k in blockers.items()]))
+    b = df.where(F.col(key).isNotNull()).select(F.col(label).alias("_y"), each.alias("x")).select("_y", "x.blocker", F.explode("x.keys").alias("block"))
     cells = b.groupBy("blocker", "block", "_y").agg(F.count(F.lit(1)).alias("n"))
     per = cells.groupBy("blocker", "block").agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"))
     return per.groupBy("blocker").agg(F.sum("same").alias("positives"), F.sum(F.expr("n * (n - 1) div 2") - F.col("same")).alias("negatives"))
@@ -103,6 +104,77 @@ def covered(df: DataFrame, key: str, label: str, blockers: dict[str, Column]) ->
     return left.join(right, ["blocker", "block", "_y"]).where("id1 < id2").select("blocker", "id1", "id2").distinct()
 
 
+#: Blockers whose subsets are counted; with more of them, classes of equal keys are compared.
+MOST_SUBSETS = 10
+
+
+class _Cover:
+    """How many true pairs a blocker brings together that none of the chosen ones does.
+
+    Records of one object with the same keys under all blockers are one class, of which only the size is kept.  Where no
+    record has two keys of a blocker, pairs that agree in a set of blockers are sizes of groups, and inclusion and exclusion
+    over the chosen ones gives the rest: no pair is made.  Else pairs of classes that share a key are, with the number of
+    pairs of records they stand for.
+    """
+
+    def __init__(self, df: DataFrame, key: str, label: str, blockers: dict[str, Column]) -> None:
+        self.names = list(blockers)
+        sets = [F.array_sort(F.array_distinct(F.filter(k, lambda x: x.isNotNull()))).alias(f"_k{i}") for i, k in enumerate(blockers.values())]
+        rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("_y"), *sets)
+        self.at = [f"_k{i}" for i in range(len(blockers))]
+        self.classes = cut(rows.groupBy("_y", *self.at).agg(F.count(F.lit(1)).alias("n")))
+        most = self.classes.agg(*[F.max(F.size(c)) for c in self.at]).first()
+        self.single = len(blockers) <= MOST_SUBSETS and all((m or 0) <= 1 for m in most)
+        self.agree: dict[frozenset[int], int] = {}
+        if not self.single:
+            self.left = cut(self._pairs())
+
+    def total(self) -> int:
+        per = self.classes.groupBy("_y").agg(F.sum("n").alias("n"))
+        return int(per.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0)
+
+    def _count(self, wanted: list[frozenset[int]]) -> None:
+        """True pairs that agree in every blocker of a set, for all sets at once."""
+        wanted = sorted({w for w in wanted if w not in self.agree}, key=sorted)
+        if not wanted:
+            return
+        each = []
+        for g, w in enumerate(wanted):
+            keys = F.array(*[F.try_element_at(self.at[i], F.lit(1)) for i in sorted(w)])
+            each.append(F.when(~F.exists(keys, lambda x: x.isNull()), F.struct(F.lit(g).alias("g"), keys.alias("k"))))
+        long = self.classes.select("_y", "n", F.explode(F.array(*each)).alias("x")).where("x IS NOT NULL")
+        sizes = long.groupBy("_y", "x.g", "x.k").agg(F.sum("n").alias("n"))
+        found = {r["g"]: int(r["p"]) for r in sizes.groupBy("g").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("p")).collect()}
+        self.agree.update({w: found.get(g, 0) for g, w in enumerate(wanted)})
+
+    def _pairs(self) -> DataFrame:
+        """blocker, a, b, n: pairs of classes of one object that share a key of the blocker, a class with itself too."""
+        own = cut(self.classes.withColumn("id", F.monotonically_increasing_id()))
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("blocker"), F.col(c).alias("keys")) for i, c in enumerate(self.at)]))
+        long = own.select("_y", "id", "n", each.alias("x")).select("_y", "id", "n", "x.blocker", F.explode("x.keys").alias("key"))
+        one, two = long.withColumnsRenamed({"id": "a", "n": "_n"}), long.withColumnsRenamed({"id": "b", "n": "_m"})
+        size = F.when(F.col("a") == F.col("b"), F.expr("_n * (_n - 1) div 2")).otherwise(F.col("_n") * F.col("_m"))
+        return one.join(two, ["_y", "blocker", "key"]).where("a <= b").select("blocker", "a", "b", size.alias("n")).where("n > 0").distinct()
+
+    def gains(self, chosen: list[str]) -> dict[str, int]:
+        """New true pairs of every blocker that is not chosen and has any."""
+        taken = [self.names.index(c) for c in chosen]
+        others = [i for i in range(len(self.names)) if i not in taken]
+        if self.single:
+            subsets = [frozenset(i for k, i in enumerate(taken) if bits >> k & 1) for bits in range(1 << len(taken))]
+            self._count([s | {i} for s in subsets for i in others])
+            new = {self.names[i]: sum((-1) ** len(s) * self.agree[s | {i}] for s in subsets) for i in others}
+        else:
+            new = {self.names[r["blocker"]]: int(r["n"]) for r in self.left.groupBy("blocker").agg(F.sum("n").alias("n")).collect()}
+        return {n: g for n, g in new.items() if g}
+
+    def take(self, name: str) -> None:
+        if not self.single:
+            i = self.names.index(name)
+            gone = self.left.where(F.col("blocker") == i).select("a", "b")
+            self.left = cut(self.left.where(F.col("blocker") != i).join(gone, ["a", "b"], "left_anti"))
+
+
 def learn_cover(df: DataFrame, key: str, label: str, blockers: dict[str, Column], epsilon: int = 0, most_negatives: float = float("inf"), least_cover: float = 1e-3, damping: float = 50.0) -> list[str]:
     """Greedy set cover: the blocker with the most new true pairs for its negatives (plus ``damping``), until at most
     ``epsilon`` true pairs are left, or none gains.  Blockers above ``most_negatives`` are left out; ties go by name."""
@@ -110,19 +182,18 @@ def learn_cover(df: DataFrame, key: str, label: str, blockers: dict[str, Column]
     allowed = {n: c for n, c in blockers.items() if cost.get(n, 0) <= most_negatives}
     if not allowed:
         return []
-    left = cut(covered(df, key, label, allowed))
-    total = true_pairs(df, key, label).count()
+    cover = _Cover(df, key, label, allowed)
+    total = cover.total()
     chosen: list[str] = []
     found = 0
     while total - found > epsilon:
-        gains = {r["blocker"]: r["n"] for r in left.groupBy("blocker").agg(F.count(F.lit(1)).alias("n")).collect()}
+        gains = cover.gains(chosen)
         best = min(gains, key=lambda n: (-gains[n] / (cost.get(n, 0) + damping), n), default=None)
         if best is None or gains[best] / (cost.get(best, 0) + damping) <= least_cover:
             break
         chosen.append(best)
         found += gains[best]
-        taken = left.where(F.col("blocker") == best).select("id1", "id2")
-        left = cut(left.where(F.col("blocker") != best).join(taken, ["id1", "id2"], "left_anti"))
+        cover.take(best)
     return chosen
 
 

@@ -111,6 +111,34 @@ def test_blocking_is_learned(spark):
     assert len(blocking.random_choice(preds, 2)) == 2
 
 
+def test_covers_are_learned_without_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    data = [(i, rng.choice(["red nut", "red bolt", "old nut", None, ""]), f"z{rng.randrange(5)}" if i % 9 else None, rng.randrange(4) if i % 11 else None) for i in range(150)]
+    df = spark.createDataFrame(data, "k int, name string, zip string, object int")
+    single = {"name": blocking.exact("name"), "zip": blocking.exact("zip"), "first": blocking.first_chars("name", 2)}
+    keys = {"name": lambda r: {r[1]} - {None}, "zip": lambda r: {r[2]} - {None}, "first": lambda r: {r[1][:2]} if r[1] else set(), "words": lambda r: set((r[1] or "").split())}
+    keys |= {f"{a}&{b}": lambda r, a=a, b=b: set(itertools.product(keys[a](r), keys[b](r))) for a, b in itertools.combinations(keys, 2)}
+    cost = lambda preds: {r["blocker"]: r["negatives"] for r in blocking.coverage(df, "k", "object", preds).collect()}
+    real = {(p[0], q[0]): (p, q) for p, q in itertools.combinations(data, 2) if p[3] is not None and p[3] == q[3]}
+
+    def greedy(preds):
+        left, chosen, price = {n: {x for x, (p, q) in real.items() if keys[n](p) & keys[n](q)} for n in preds}, [], cost(preds)
+        while any(left.values()):
+            best = min((n for n in left if left[n]), key=lambda n: (-len(left[n]) / (price.get(n, 0) + 50), n))
+            if len(left[best]) / (price.get(best, 0) + 50) <= 1e-3:
+                break
+            chosen.append(best)
+            left = {n: x - left[best] for n, x in left.items() if n != best}
+        return chosen
+
+    made = lambda *_: pytest.fail("true pairs were listed")
+    monkeypatch.setattr(blocking, "covered", made)
+    monkeypatch.setattr(blocking, "true_pairs", made)
+    for preds in (single, blocking.conjunctions(single), blocking.conjunctions(single | {"words": blocking.common_words("name")})):
+        got = blocking.learn_cover(df, "k", "object", preds)
+        assert got == greedy(preds) and len(got) > 1
+
+
 def test_canopies_cover_and_are_apart(spark):
     rng = random.Random(6)
     near = {(i, j) for i, j in itertools.combinations(range(40), 2) if rng.random() < 0.08}
