@@ -99,6 +99,35 @@ def test_groups_and_clusters(spark):
     assert {r["cluster"] for r in deduping.agglomerated(spark.createDataFrame([], "id1 long, id2 long, distance double"), nodes, "k", "distance", 3).collect()} == set(range(30))
 
 
+@pytest.mark.parametrize("few", [0, 30])
+def test_groups_and_clusters_of_more_links_than_a_task_joins(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    test_groups_and_clusters(spark)
+    tied = [(i, i + 1, 2.0 if i % 5 else 1.0) for i in range(40)]
+    nodes = spark.range(41).withColumnRenamed("id", "k")
+    for k in (30, 33, 40):
+        got = deduping.agglomerated(spark.createDataFrame(tied, "id1 long, id2 long, distance double"), nodes, "k", "distance", k).collect()
+        assert len({r["cluster"] for r in got}) == (1 if k < 33 else 33)
+
+
+def test_distances_are_not_listed(spark, monkeypatch):
+    """A million distances or more were cut, and a group was made for each halving of their list."""
+    made = []
+    real = deduping.groups
+    monkeypatch.setattr(deduping, "groups", lambda *a: made.append(1) or real(*a))
+    pairs = spark.createDataFrame([(i, i + 1, float(i * 37 % 101)) for i in range(90)], "id1 long, id2 long, distance double")
+    assert deduping.agglomerated(pairs, spark.range(91).withColumnRenamed("id", "k"), "k", "distance", 4).select("cluster").distinct().count() == 4
+    assert len(made) == 1
+
+
+def test_chains_need_no_round(spark, monkeypatch):
+    made = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(1) or real(df))
+    links = spark.range(3000).selectExpr("id AS id1", "id + 1 AS id2")
+    assert graph.groups(links).where("group = 0").count() == 3001 and len(made) == 2
+
+
 def test_blocking_is_learned(spark):
     rng = random.Random(5)
     data = [(i, f"name{i // 3}", f"z{rng.randrange(4)}", i // 3) for i in range(60)]
