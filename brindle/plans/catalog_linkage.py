@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stemming
 from ..operators import blocking, deduping, linkage
+from ..operators.relational import cut
 from .catalog import _TOKENS, _WEIGHTS, query, table
 from .catalog_rows import _u
 
@@ -143,10 +144,12 @@ def sum_of_field_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classifier_record_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").withColumn("cell", F.floor(F.col("s_acctbal") / 2000))
-    pairs = deduping.with_fields(blocking.candidates(s, "s_suppkey", {"nation": blocking.exact("s_nationkey")}), s, "s_suppkey", ["s_acctbal", "cell"]).withColumn("y", F.col("cell_1") == F.col("cell_2"))
-    metrics = {"balance": F.abs(F.col("s_acctbal_1") - F.col("s_acctbal_2")) / 1000}
-    out = deduping.classifier_distance(pairs, pairs, metrics, "y")
-    return deduping.average_precision(out.withColumn("score", -F.col("distance")), "y", "score", pairs.where("y").count())
+    pairs = deduping.paired_classes(s, "s_suppkey", "s_nationkey", ["s_acctbal", "cell"])
+    measured = pairs.select((F.abs(F.col("s_acctbal_1") - F.col("s_acctbal_2")) / 1000).alias("balance"), (F.col("cell_1") == F.col("cell_2")).alias("y"), "n")
+    cells = cut(measured.groupBy("balance", "y").agg(F.sum("n").alias("n")))
+    out = deduping.classifier_distance(cells, cells, {"balance": F.col("balance")}, "y", weight="n")
+    total = cells.where("y").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return deduping.average_precision(out.withColumn("score", -F.col("distance")), "y", "score", total, "n")
 
 
 @query(f"WITH {_WEIGHTS}, k AS (SELECT a.id AS id1, b.id AS id2, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.token = b.token AND b.id = a.id + 1 GROUP BY 1, 2) SELECT p.p_partkey AS id1, p.p_partkey + 1 AS id2, round(coalesce(s, 0), 6) AS similarity FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1 LEFT JOIN k ON k.id1 = p.p_partkey")

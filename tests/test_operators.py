@@ -128,6 +128,22 @@ def test_chains_need_no_round(spark, monkeypatch):
     assert graph.groups(links).where("group = 0").count() == 3001 and len(made) == 2
 
 
+def test_classes_of_pairs_stand_for_all_pairs(spark):
+    rng = random.Random(10)
+    data = [(i, rng.choice("ab") if i % 9 else None, float(rng.randrange(6))) for i in range(80)]
+    df = spark.createDataFrame(data, "k long, b string, x double")
+    every = deduping.with_fields(blocking.candidates(df, "k", {"b": blocking.exact("b")}), df, "k", ["x"])
+    gap = F.abs(F.col("x_1") - F.col("x_2"))
+    few = deduping.paired_classes(df, "k", "b", ["x"]).select(gap.alias("gap"), (gap < 2).alias("y"), "n").groupBy("gap", "y").agg(F.sum("n").alias("n"))
+    all_pairs = every.select(gap.alias("gap"), (gap < 2).alias("y"))
+    assert {(r["gap"], r["n"]) for r in few.collect()} == {(r["gap"], r["count"]) for r in all_pairs.groupBy("gap").count().collect()}
+    measure = {"gap": F.col("gap")}
+    one = deduping.classifier_distance(all_pairs, all_pairs, measure, "y").withColumn("s", -F.col("distance"))
+    two = deduping.classifier_distance(few, few, measure, "y", weight="n").withColumn("s", -F.col("distance"))
+    true = all_pairs.where("y").count()
+    assert deduping.average_precision(one, "y", "s", true).first() == deduping.average_precision(two, "y", "s", true, "n").first()
+
+
 def test_blocking_is_learned(spark):
     rng = random.Random(5)
     data = [(i, f"name{i // 3}", f"z{rng.randrange(4)}", i // 3) for i in range(60)]
