@@ -1,8 +1,10 @@
 """Near-dedup of whole rows: word shingles of ``SHINGLE`` words, copies at a Jaccard similarity of 4/5 or more.
 
-Rows with equal shingle sets are one node.  Nodes that agree in a band of MinHash values are candidates: with ``BANDS``
-bands of ``DEEP`` values a pair at 4/5 has no band in common in about 5 of a million cases, and more alike pairs less
-often.  Candidates are only what is compared, set by set, in two steps: first every node with the least node of each of its
+Rows with equal shingle sets are one node, and a node has the SimHash of its shingles.  Nodes whose fingerprints differ in
+``RADIUS`` bits or less are candidates, found by the BK-trees of ``simhash``.  A pair at 4/5 differs in about ten bits, which
+no tree finds in less than all pairs, so there is a way for the rest: nodes that agree in a band of MinHash values are
+candidates too.  With ``BANDS`` bands of ``DEEP`` values a pair at 4/5 has no band in common in about 5 of a million cases,
+and more alike pairs less often.  Candidates are only what is compared, set by set, in two steps: first every node with the least node of each of its
 bands, an edge at a time; then, in each connected group of candidates that these links leave in pieces, the nodes outside
 the largest piece with all nodes of the group that are not in their own piece yet.  Groups are dealt out as cells of
 ``STRAYS`` such nodes by ``TILE`` nodes, so no task holds more than a cell's sets, however large a group is.
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 
 from ._common import batches_of, free, ready, staged
 from .bpe import texts_of
-from .simhash import contracted
+from .simhash import contracted, edges
 
 SHINGLE, BANDS, DEEP = 5, 40, 6
 STRAYS, TILE = 512, 2048
+#: Bits in which fingerprints of candidates differ at most.
+RADIUS = 6
 FACTORS = np.random.default_rng(7).integers(0, 2**63, BANDS * DEEP, dtype="uint64") * np.uint64(2) + np.uint64(1)
 
 
@@ -41,6 +45,24 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(whole[a:b]) for a, b in zip(first, ends[width - 1 :].tolist())], "uint64"))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes: bits that are set in over half of them."""
+    votes = np.zeros(64, "int64")
+    for a in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[a : a + (1 << 16)].view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int32")
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes (node, fp) that join the same groups as all links of ``RADIUS`` bits or less between their fingerprints."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    blocks = RADIUS + (2 if nodes.count() <= 64 << 16 else 3)
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = edges(first.select("fp"), RADIUS, blocks).withColumnsRenamed({"a": "_a", "b": "_b"})
+    ends = near.join(first.select(F.col("fp").alias("_a"), F.col("first").alias("a")), "_a").join(first.select(F.col("fp").alias("_b"), F.col("first").alias("b")), "_b")
+    return equal.union(ends.select("a", "b"))
+
+
 def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     """One row of BANDS numbers for each set; none may be empty."""
     flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
@@ -107,8 +129,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             bands: list = [None] * len(sets)
             for i, row in zip(full, bands_of([sets[i] for i in full]) if full else ()):
                 bands[i] = row
+            prints = [fingerprint(s) if len(s) else None for s in sets]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_row", "doc_id", "mark", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())], ["_row", "doc_id", "mark", "key", "bands", "fp"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,13 +150,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": nodes[own], "b": first[own]})
 
     kind = dict(docs.dtypes)["doc_id"]
-    sketched = texts.select("_row", "text", "doc_id", F.xxhash64("text").alias("mark")).mapInArrow(sketch, f"_row long, doc_id {kind}, mark long, key binary, bands array<long>")
+    sketched = texts.select("_row", "text", "doc_id", F.xxhash64("text").alias("mark")).mapInArrow(sketch, f"_row long, doc_id {kind}, mark long, key binary, bands array<long>, fp long")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "_row")
-    nodes = sketched.groupBy("key").agg(F.min(order).alias("order"), F.first("bands").alias("bands"))
-    nodes = staged(nodes.select(F.col("order._row").alias("node"), "order", "bands"), "nodes")
+    nodes = sketched.groupBy("key").agg(F.min(order).alias("order"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    nodes = staged(nodes.select(F.col("order._row").alias("node"), "order", "bands", "fp"), "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     firsts = banded.groupBy("at", "band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = staged(banded.join(firsts, ["at", "band"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "stars")
+    met = banded.join(firsts, ["at", "band"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    close = simhash_candidates(nodes.where("fp IS NOT NULL").select("node", "fp"))
+    stars = staged(close.union(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     near = contracted(stars)
     asked = texts.select("_row", "text").join(near.withColumnRenamed("node", "_row"), "_row").select("_row", "text", "root")
     sets = staged(asked.mapInArrow(packed, "_row long, root long, hashes binary"), "sets")

@@ -68,6 +68,31 @@ def test_near_copies_are_dropped(spark, monkeypatch, strays, tile):
     assert sorted(r[0] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").select("doc_id").collect()) == sorted(first.values())
 
 
+def test_near_dedup_searches_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fps = [int(x) for x in rng.integers(-(2**63), 2**63, 40)]
+    for d in (0, 1, 4, 6, 7, 9):
+        for base in fps[:10]:
+            flips = sum(1 << int(b) for b in rng.choice(63, d, replace=False))
+            fps.append(base ^ flips)
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    root = list(range(len(fps)))
+    for a, x in enumerate(fps):
+        for b in range(a):
+            if ((x ^ fps[b]) & (1 << 64) - 1).bit_count() <= neardup.RADIUS:
+                root = [root[b] if r == root[a] else r for r in root]
+    got = list(range(len(fps)))
+    for r in neardup.simhash_candidates(nodes).collect():
+        got = [got[r["b"]] if x == got[r["a"]] else x for x in got]
+    tell = lambda label: sorted(sorted(i for i, x in enumerate(label) if x == y) for y in set(label))
+    assert tell(got) == tell(root) and max(map(len, tell(got))) > 3
+    asked = []
+    real = neardup.edges
+    monkeypatch.setattr(neardup, "edges", lambda df, *a: asked.append(a) or real(df, *a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60 + i % 2)), "en", "s", 1) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, "").count() == 1 and asked[0][0] == neardup.RADIUS
+
+
 def test_linked_sets_are_those_of_all_pairs():
     rng = np.random.default_rng(2)
     sets = []
