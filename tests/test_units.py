@@ -1,5 +1,9 @@
 """Functions and sources on small hand-checked inputs."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +143,35 @@ def test_neighbours_of_more_queries_than_a_block(spark, sf, monkeypatch):
     want = ask()
     monkeypatch.setattr(neighbours, "MOST_QUERIES", 70)
     assert ask() == want and len(want) == 3 * p.count()
+
+
+def test_neighbours_equal_all_pairs(spark, monkeypatch):
+    """Copies of points and queries, ties, points apart and a search in several boxes and chunks."""
+    from brindle.operators import neighbours
+
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(12)), round(rng.gauss(0, 1), rng.choice([0, 1, 6]))) for i in range(700)] + [(700 + i, 3.0, 0.5) for i in range(60)] + [(760, None, 1.0)]
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(3)
+    full = [r for r in rows if r[1] is not None]
+    low, span = [min(r[c] for r in full) for c in (1, 2)], [max(r[c] for r in full) - min(r[c] for r in full) for c in (1, 2)]
+    place = {r[0]: [(r[c] - low[c - 1]) / span[c - 1] for c in (1, 2)] for r in full}
+    want = []
+    for q in [k for k in place if k % 3 == 0]:
+        near = sorted((round(math.sqrt(sum((a - b) ** 2 for a, b in zip(place[q], place[t]))), 9), t) for t in place)[:5]
+        want += [(q, t, i + 1, round(d, 6)) for i, (d, t) in enumerate(near)]
+    for most, size in ((200_000, 256), (150, 8)):
+        monkeypatch.setattr(neighbours, "AT_ONCE", most)
+        monkeypatch.setattr(neighbours, "BOX", size)
+        assert sorted(map(tuple, neighbours.nearest(df, df.where("k % 3 = 0"), ["x", "y"], "k", 5).collect())) == sorted(want)
+    assert neighbours.nearest(df, df.where("k < 0"), ["x", "y"], "k", 5).count() == 0
+
+
+def test_a_box_of_queries_reads_only_near_boxes(monkeypatch):
+    from brindle.operators import neighbours
+
+    rng, read = np.random.default_rng(1), []
+    real = np.partition
+    monkeypatch.setattr(np, "partition", lambda d, *a, **k: read.append(d.size) or real(d, *a, **k))
+    points = rng.random((40_000, 2))
+    list(neighbours.searched(points, np.ones(len(points), "int64"), points[:20_000], 5))
+    assert sum(read) < 0.1 * 20_000 * len(points)
