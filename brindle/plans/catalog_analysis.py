@@ -601,9 +601,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    name = f"s{uuid.uuid4().hex}"
-    incremental.drain(stream, name, _path(spark, "stream"), mode)
-    return spark.table(name)
+    return incremental.drained(stream, _path(spark, "drained"), _path(spark, "stream"), mode)
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.relational import removed
+
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event-time window and key; rows later than the watermark are dropped and state is freed."""
@@ -25,3 +27,24 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete")
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run what is there now into a shared folder of files, stop and read it: results of any size, none of it on the driver.
+
+    In complete mode a batch holds the whole result, so the last one is read and those before it are deleted.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
+    last = [f"{path}/none"]
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        if mode == "complete":
+            for old in set(last) - {f"{path}/{number}"}:
+                removed(spark, old)
+            last.clear()
+        last.append(f"{path}/{number}")
+
+    stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*dict.fromkeys(last))

@@ -175,3 +175,26 @@ def test_a_box_of_queries_reads_only_near_boxes(monkeypatch):
     points = rng.random((40_000, 2))
     list(neighbours.searched(points, np.ones(len(points), "int64"), points[:20_000], 5))
     assert sum(read) < 0.1 * 20_000 * len(points)
+
+
+def test_drained_streams_stay_off_the_driver(spark, sf, monkeypatch):
+    import __spark_entry__
+    from brindle.streaming import incremental
+
+    monkeypatch.setattr(incremental, "drain", lambda *_: pytest.fail("the result was kept in the driver's memory"))
+    got = __spark_entry__.queries()["stream_sessions"](spark, sf)
+    assert got.inputFiles() and got.groupBy().sum("n").first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_drained_streams_of_many_batches_and_none(spark, tmp_path):
+    from brindle.streaming import incremental
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(30)], "k long, c string").repartition(5)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = lambda p: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(p)
+    counts = incremental.drained(stream(str(tmp_path / "in")).groupBy("c").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(map(tuple, counts.collect())) == [("a", 15), ("b", 15)]
+    kept = incremental.drained(stream(str(tmp_path / "in")).where("k > 9"), str(tmp_path / "out2"), str(tmp_path / "cp2"), "append")
+    assert sorted(r["k"] for r in kept.collect()) == list(range(10, 30))
+    (tmp_path / "empty").mkdir()
+    assert incremental.drained(stream(str(tmp_path / "empty")).groupBy("c").count(), str(tmp_path / "out3"), str(tmp_path / "cp3")).count() == 0
