@@ -88,6 +88,10 @@ class Model:
         return np.clip((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), 0.0, 1.0)
 
 
+#: What a model consists of.
+PARTS = {"idf": "float32", "basis": "float32", "vectors": "float32", "labels": "float64"}
+
+
 def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds: int = 4) -> Model:
     """Factor the labelled rows by a subspace that power iterations sharpen; signs and ties do not matter to cosines."""
     n, d = rows.shape
@@ -95,7 +99,8 @@ def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds: int = 4)
     rank = min(rank, d)
     if not n:
         return Model(idf, np.zeros((d, rank), np.float32), np.zeros((0, rank), np.float32), labels.astype("float64"))
-    a = rows.astype(np.float32) * idf
+    a = rows.astype(np.float32)
+    a *= idf
     z = a @ np.random.default_rng(0).normal(size=(d, min(rank + 16, d))).astype(np.float32)
     for _ in range(rounds):
         z = a @ (a.T @ np.linalg.qr(z)[0])
@@ -105,8 +110,10 @@ def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds: int = 4)
     return Model(idf, basis, vectors, labels.astype("float64"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and labels of at most ``bound`` labelled rows that are not held out, chosen by a hash of the id."""
+def learned(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
+    """The model of at most ``bound`` labelled rows that are not held out, chosen by a hash of the id.
+
+    One task gathers the terms and fits; only the model (2 MB at ``SAMPLE`` rows) comes to the driver."""
     spark = ready(docs.sparkSession)
     batches_of(spark, 512)
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -118,14 +125,25 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[n
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t).astype("float16").tobytes() for t in texts_of(b.column(2))], pa.binary())], ["doc_id", "quality", "terms"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, marks = np.zeros((bound, TERMS), "float16"), []
+        for b in batches:
+            for mark, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows[len(marks)] = np.frombuffer(own, "float16")
+                marks.append(mark)
+        model = fit(rows[: len(marks)], np.array(marks, dtype="float64"))
+        parts = [getattr(model, c).tobytes() for c in PARTS]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], list(PARTS))
+
     kind = dict(docs.dtypes)["doc_id"]
     # Ids may repeat in the documents, without a bound: the bound holds for rows too, in an order that reruns share.
     got = texts.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, terms binary").orderBy("doc_id", "terms").limit(bound)
-    rows, marks = np.zeros((bound, TERMS), "float16"), []
-    for r in got.select("quality", "terms").toLocalIterator():
-        rows[len(marks)] = np.frombuffer(r["terms"], "float16")
-        marks.append(r["quality"])
-    return rows[: len(marks)], np.array(marks, dtype="float64")
+    made = got.select("quality", "terms").coalesce(1).mapInArrow(fitted, ", ".join(f"{c} binary" for c in PARTS)).collect()
+    if not made:  # a table that is known to be empty has no task
+        return fit(np.zeros((0, TERMS), "float16"), np.zeros(0))
+    parts = {c: np.frombuffer(made[0][c], kind) for c, kind in PARTS.items()}
+    basis = parts["basis"].reshape(TERMS, -1)
+    return Model(parts["idf"], basis, parts["vectors"].reshape(-1, basis.shape[1]), parts["labels"])
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -136,7 +154,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     Source, language and other columns are not read.
     """
     spark = ready(docs.sparkSession)
-    model = spark.sparkContext.broadcast(fit(*labelled(docs, labels)))
+    model = spark.sparkContext.broadcast(learned(docs, labels))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +169,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that are predicted good, in one pass over the texts."""
     spark = ready(docs.sparkSession)
-    model = spark.sparkContext.broadcast(fit(*labelled(docs, labels)))
+    model = spark.sparkContext.broadcast(learned(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from ._common import batches_of, free, parts_for, ready, staged
 from .bpe import texts_of
 
@@ -31,6 +32,8 @@ from .bpe import texts_of
 RADIUS, TILE, SHARD = 3, 16384, 1024
 #: Rounds of joining groups before the order of nodes is varied.
 PLAIN = 6
+#: Links that one task joins.
+FEW = 500_000
 #: Rows of whole shards that a task searches at once, and pairs of query and node.
 AT_ONCE, PAIRS = 100_000, 300_000
 
@@ -221,29 +224,42 @@ def edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
 def contracted(links: DataFrame) -> DataFrame:
     """node, root for every end of ``links`` (a, b; long): one root for each connected group.
 
-    Each round hangs every node from its least neighbour and relabels the edges, which ends stars and most other groups in a
-    few rounds.  After ``PLAIN`` rounds every other one compares numbers with some bits flipped, other ones each time:
-    chains of rising numbers, which would shorten by one node a round, about halve in these.  So rounds grow with the
-    logarithm of a group's size.
+    While there are more than ``FEW`` links, each round hangs every node from its least neighbour and relabels the edges,
+    which ends stars and most other groups in a few rounds.  After ``PLAIN`` rounds every other one compares numbers with
+    some bits flipped, other ones each time: chains of rising numbers, which would shorten by one node a round, about halve
+    in these.  So rounds grow with the logarithm of a group's size.  What is left is joined in one task, as each round costs
+    the driver several jobs.
     """
     links = links.where("a <> b").distinct().checkpoint()
     roots: DataFrame | None = None
     turn = 0
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if sum(map(len, held)):
+            nodes, least = connected(*pd.concat(held)[["a", "b"]].to_numpy("int64").T)
+            for i in range(0, len(nodes), 10_000):
+                yield pd.DataFrame({"node": nodes[i : i + 10_000], "to": least[i : i + 10_000]})
+
     while True:
         turn += 1
-        mask = F.lit(0 if turn <= PLAIN or turn % 2 else (turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63))
-        least = F.least(F.min(F.col("b").bitwiseXOR(mask)), F.first(F.col("a").bitwiseXOR(mask)))
-        ends = links.union(links.select("b", "a")).groupBy("a").agg(least.bitwiseXOR(mask).alias("to")).withColumnRenamed("a", "node")
-        ends = ends.checkpoint()
+        few = links.count() <= FEW
+        if few:
+            ends = links.coalesce(1).mapInPandas(join, "node long, to long").checkpoint()
+        else:
+            mask = F.lit(0 if turn <= PLAIN or turn % 2 else (turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63))
+            least = F.least(F.min(F.col("b").bitwiseXOR(mask)), F.first(F.col("a").bitwiseXOR(mask)))
+            ends = links.union(links.select("b", "a")).groupBy("a").agg(least.bitwiseXOR(mask).alias("to")).withColumnRenamed("a", "node")
+            ends = ends.checkpoint()
         if roots is None:
             roots = ends.withColumnRenamed("to", "root")
         else:
             step = ends.withColumnsRenamed({"node": "root", "to": "_to"})
             roots = roots.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("root")).checkpoint()
+        if few:
+            return roots
         new = links.join(ends.withColumnsRenamed({"node": "a", "to": "_a"}), "a").join(ends.withColumnsRenamed({"node": "b", "to": "_b"}), "b")
         links = new.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct().checkpoint()
-        if links.isEmpty():
-            return roots
 
 
 def _grouped(base: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:

@@ -212,6 +212,30 @@ def test_groups_along_a_chain(spark, monkeypatch):
     assert len(got) == 60 and all(len({r["root"] for r in got if r["node"] // 20 == k}) == 1 for k in range(3)) and len({r["root"] for r in got}) == 3
 
 
+def test_few_links_are_joined_in_few_jobs_and_many_in_rounds(spark, monkeypatch):
+    """Each round costs the driver several jobs; both ways give the same groups."""
+    chain = spark.range(60).selectExpr("id * 7 % 60 AS x").selectExpr("x AS a", "x + 1 AS b").where("a % 20 <> 19")
+    jobs = lambda g: len(spark.sparkContext.statusTracker().getJobIdsForGroup(g))
+    found = {}
+    for few in (500_000, 10):
+        monkeypatch.setattr(simhash, "FEW", few, raising=False)
+        spark.sparkContext.setJobGroup(f"links-{few}", "")
+        got = simhash.contracted(chain)
+        found[few] = jobs(f"links-{few}")
+        rows = got.collect()
+        assert len(rows) == 60 and len({r["root"] for r in rows}) == 3 and all(len({r["root"] for r in rows if r["node"] // 20 == k}) == 1 for k in range(3))
+    spark.sparkContext.setJobGroup("", "")
+    assert found[500_000] <= 10 < found[10]
+    assert simhash.contracted(chain.limit(0)).count() == 0
+
+
+def test_the_driver_does_not_fit_the_quality_model(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want = sorted(map(tuple, quality.scored(docs, labels).collect()))
+    monkeypatch.setattr(np.linalg, "svd", None)  # here, not in the tasks
+    assert sorted(map(tuple, quality.scored(docs, labels).collect())) == want and quality.kept(docs, labels).count() > 0
+
+
 def test_trees_find_the_groups_of_all_pairs():
     rng = np.random.default_rng(1)
     key = rng.integers(0, 2**63, 12, dtype="uint64")[rng.integers(0, 12, 900)]
