@@ -32,7 +32,7 @@ LETTERS = r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)"
 #: Letters and marks of every line of a text; both are empty for a line that is something else.
 LINES = re.compile(rf"^(?:{LETTERS}|.+)$", re.M)
 NEVER = np.int64(1) << np.int64(40)
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[tuple[str, int, int], "WordEncoder"] = {}
 
 
 def checked(path: str) -> None:
@@ -135,13 +135,14 @@ class Merger:
 class WordEncoder:
     """Encodes texts (bytes of UTF-8) to ids (bytes of little-endian unsigned 32-bit integers), word by word."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_words: int = KEPT_WORDS, most_letters: int = KEPT_LETTERS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.most_words, self.most_letters = most_words, most_letters
         self.words: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
         self.merger = Merger(path)
@@ -159,8 +160,8 @@ class WordEncoder:
         lower = "\n".join([parts[i][0] for i in plain]).lower().split("\n") if plain else []
         after = [parts[i][1] for i in plain]
         known, marks = self.words, self.marks
-        if len(self.letters) > KEPT_LETTERS:
-            self.letters = dict(islice(self.letters.items(), KEPT_LETTERS // 2))
+        if len(self.letters) > self.most_letters:
+            self.letters = dict(islice(self.letters.items(), self.most_letters // 2))
         letters = self.letters
         fresh = list(set(lower).difference(letters))
         letters.update(zip(fresh, self.merger.encode([x.encode() for x in fresh])))
@@ -194,8 +195,8 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         known = self.words
-        if len(known) > KEPT_WORDS:  # the words met first are the frequent ones
-            self.words = known = dict(islice(known.items(), KEPT_WORDS // 2))
+        if len(known) > self.most_words:  # the words met first are the frequent ones
+            self.words = known = dict(islice(known.items(), self.most_words // 2))
         new: set[bytes] = set()
         for words in split:
             new.update(words)
@@ -209,11 +210,12 @@ class WordEncoder:
         return b" ".join(map(self.tokens.__getitem__, got)).decode()
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most_words: int = KEPT_WORDS, most_letters: int = KEPT_LETTERS) -> WordEncoder:
+    """One encoder for each Python worker, file and size of its store."""
+    key = path, most_words, most_letters
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
 
 
 def cuts_of(data: bytes, size: int = CHUNK) -> list[int]:

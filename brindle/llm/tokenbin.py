@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from . import bpe
 from ._common import batches_of, parts_for, ready
 
+#: Rows of a batch, words and their letters that a worker of ``write`` keeps: it has no store of chunks beside them, and
+#: what it forgets it has to merge again.
+BATCH, KEPT_WORDS, KEPT_LETTERS = 1024, 600_000, 400_000
 #: Writer settings for each encoding of ids.
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20)},
@@ -34,13 +37,13 @@ def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1, encoding:
     same id follow each other by text.  An empty table gives files without rows.  Other columns are ignored.
     """
     spark = ready(docs.sparkSession)
-    batches_of(spark, 512)
+    batches_of(spark, BATCH)
     bpe.checked(tokenizer)
     kind = dict(docs.dtypes)["doc_id"]
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = bpe.encoder(tokenizer), 0
+        words, start = bpe.encoder(tokenizer, KEPT_WORDS, KEPT_LETTERS), 0
         for b in batches:
             got = [x + end for x in words.encode(bpe.texts_of(b.column(1)))]
             n = np.array([len(x) // 4 for x in got], dtype="int64")

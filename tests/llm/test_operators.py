@@ -236,6 +236,23 @@ def test_the_driver_does_not_fit_the_quality_model(spark, sf, monkeypatch):
     assert sorted(map(tuple, quality.scored(docs, labels).collect())) == want and quality.kept(docs, labels).count() > 0
 
 
+def test_a_larger_store_of_words_learns_less_and_encodes_alike(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{''.join(rng.choices('rstuv', k=5))}" for _ in range(300)).encode() for _ in range(40)]
+    met, got = {}, {}
+    for words, letters in ((600, 300), (tokenbin.KEPT_WORDS, tokenbin.KEPT_LETTERS)):
+        e = bpe.encoder(queries.word_bpe(), words, letters)
+        learn, met[words] = e._learn, 0
+
+        def counted(new, learn=learn, words=words):
+            met[words] += len(new)
+            learn(new)
+
+        monkeypatch.setattr(e, "_learn", counted)
+        got[words] = [x for t in texts for x in e.encode([t])]
+    assert got[600] == got[tokenbin.KEPT_WORDS] and met[tokenbin.KEPT_WORDS] < 0.9 * met[600]
+
+
 def test_trees_find_the_groups_of_all_pairs():
     rng = np.random.default_rng(1)
     key = rng.integers(0, 2**63, 12, dtype="uint64")[rng.integers(0, 12, 900)]
