@@ -82,7 +82,7 @@ def set_cover_first_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def set_cover_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir).where("p_retailprice < 950")
+    p = _parts(spark, sf_dir)
     return spark.createDataFrame(list(enumerate(blocking.learn_cover(p, "p_partkey", "p_type", _nation_blockers()))), "place int, blocker string")
 
 
