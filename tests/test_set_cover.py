@@ -40,3 +40,8 @@ def cheap(parts):
 def test_set_cover_blocking_reads_all_parts(spark, tmp_path):
     assert greedy(PARTS, KEYS) != greedy(cheap(PARTS), KEYS)
     assert learned(spark, str(tmp_path), "set_cover_blocking", PARTS) == greedy(PARTS, KEYS)
+
+
+def test_set_cover_dnf_blocking_reads_all_parts(spark, tmp_path):
+    assert greedy(PARTS, PAIRED) != greedy(cheap(PARTS), PAIRED)
+    assert learned(spark, str(tmp_path), "set_cover_dnf_blocking", PARTS) == greedy(PARTS, PAIRED)
