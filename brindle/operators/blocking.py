@@ -197,6 +197,20 @@ def learn_cover(df: DataFrame, key: str, label: str, blockers: dict[str, Column]
     return chosen
 
 
+def first_choice(df: DataFrame, key: str, label: str, blockers: dict[str, Column], damping: float = 50.0) -> str:
+    """The blocker with the most true pairs for its negatives, where each gives a record one key at most; the first named of equals.
+
+    Rows without a label are in no pair, and rows of one key make none with each other.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    again = rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key), key, "left_semi")
+    own = coverage(again, key, label, {n: conjunction(k, exact(key)) for n, k in blockers.items()})
+    less = own.select("blocker", (-F.col("positives")).alias("positives"), (-F.col("negatives")).alias("negatives"))
+    per = coverage(rows, key, label, blockers).unionByName(less).groupBy("blocker").agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
+    cover = {r["blocker"]: r["p"] / (r["n"] + damping) for r in per.collect()}
+    return max(blockers, key=lambda n: cover.get(n, 0.0))
+
+
 def conjunctions(blockers: dict[str, Column], most: int = 2) -> dict[str, Column]:
     """The blockers and all conjunctions of up to ``most`` of them, named a&b."""
     from itertools import combinations

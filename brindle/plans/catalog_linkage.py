@@ -71,13 +71,12 @@ def _nation_blockers() -> dict:
     return {"brand": blocking.exact("p_brand"), "size": blocking.exact_number("p_size"), "first3": blocking.first_chars("p_name")}
 
 
-@query("""WITH p AS (SELECT * FROM part WHERE p_retailprice < 950), o AS (SELECT count(*) FILTER (a.p_brand = b.p_brand) AS brand, count(*) FILTER (a.p_size = b.p_size) AS size, count(*) FILTER (substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3)) AS first3, count(*) AS t FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
+@query("""WITH p AS (SELECT * FROM part), o AS (SELECT count(*) FILTER (a.p_brand = b.p_brand) AS brand, count(*) FILTER (a.p_size = b.p_size) AS size, count(*) FILTER (substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3)) AS first3, count(*) AS t FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
 c AS (SELECT count(*) FILTER (a.p_brand = b.p_brand) AS brand, count(*) FILTER (a.p_size = b.p_size) AS size, count(*) FILTER (substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3)) AS first3 FROM p a JOIN p b ON a.p_type <> b.p_type AND a.p_partkey < b.p_partkey)
 SELECT 0 AS place, arg_max(n, g) AS blocker FROM (SELECT 'brand' AS n, o.brand / (c.brand + 50) AS g FROM o, c UNION ALL SELECT 'size', o.size / (c.size + 50) FROM o, c UNION ALL SELECT 'first3', o.first3 / (c.first3 + 50) FROM o, c)""")
 def set_cover_first_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir).where("p_retailprice < 950")
-    chosen = blocking.learn_cover(p, "p_partkey", "p_type", _nation_blockers())
-    return spark.createDataFrame([(0, chosen[0])], "place int, blocker string")
+    blockers = _nation_blockers() | {"first3": F.when(F.col("p_name").isNotNull(), F.array(F.substring("p_name", 1, 3)))}
+    return spark.createDataFrame([(0, blocking.first_choice(_parts(spark, sf_dir), "p_partkey", "p_type", blockers))], "place int, blocker string")
 
 
 @query()

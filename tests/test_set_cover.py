@@ -2,6 +2,9 @@
 
 import itertools
 
+import duckdb
+import pytest
+
 from brindle.plans import catalog
 
 #: Cheap parts agree in brand where they are of one type, dear ones and those of no price in size, or in name and size.
@@ -45,3 +48,29 @@ def test_set_cover_blocking_reads_all_parts(spark, tmp_path):
 def test_set_cover_dnf_blocking_reads_all_parts(spark, tmp_path):
     assert greedy(PARTS, PAIRED) != greedy(cheap(PARTS), PAIRED)
     assert learned(spark, str(tmp_path), "set_cover_dnf_blocking", PARTS) == greedy(PARTS, PAIRED)
+
+
+def by_sql(folder):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet/*.parquet')")
+    return [r[1] for r in duck.sql(catalog.oracle_sql()["set_cover_first_choice"]).fetchall()]
+
+
+def test_set_cover_first_choice_reads_all_parts(spark, tmp_path):
+    assert learned(spark, str(tmp_path), "set_cover_first_choice", PARTS) == greedy(PARTS, KEYS)[:1] == by_sql(tmp_path)
+    assert greedy(PARTS, KEYS)[0] != greedy(cheap(PARTS), KEYS)[0]
+
+
+ODD = {
+    "no parts": [],
+    "no true pair": [(1, "abc", "B", "T", 1, None), (2, "abd", "C", "U", 2, 960.0)],
+    "a tie of size and first3": [(1, "abc", "B", "T", 1, 960.0), (2, "abc", "C", "T", 1, 960.0)],
+    "empty names": [(1, "", "B", "T", 1, None), (2, "", "C", "T", 2, None), (3, None, "D", "T", 3, 960.0), (4, None, "E", "T", 4, 960.0)],
+    "no type": [(i, f"a{i:02d}", "B", None, 1, 960.0) for i in range(30)] + [(50, "a50", "B", "T", 2, 960.0), (51, "a51", "B", "T", 2, 960.0), (52, "a50", "D", "T", 1, 960.0), (53, "a61", "E", "T", 1, 960.0), (54, "a62", "B", "U", 1, 960.0)],
+    "keys twice and none": [(0, f"a{i}c", "B", "T", 10 + i, 960.0) for i in range(3)] + [(None, "abc", "D", "T", 9, 960.0)] * 3 + [(3, "abd", "E", "T", 5, 960.0), (4, "abe", "F", "T", 5, 960.0)],
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_set_cover_first_choice_is_that_of_sql_on_odd_parts(spark, tmp_path, name):
+    assert learned(spark, str(tmp_path), "set_cover_first_choice", ODD[name]) == by_sql(tmp_path)
